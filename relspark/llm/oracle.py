@@ -18,6 +18,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+OP5 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), g AS (
+  SELECT doc_id, CASE
+    WHEN len(words) >= 2 THEN list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))
+    WHEN len(words) = 1 THEN words ELSE [] END AS shingles
+  FROM w
+), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS s FROM g
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least_id AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM g JOIN least_id ON doc_id = x
+"""
+
 OP9 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -32,4 +56,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1, "op9_arc_to_warc": OP9}
+    return {"op1_pivot_topk": OP1, "op5_minhash_classes": OP5, "op9_arc_to_warc": OP9}
