@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,36 @@ def in_class(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# ---- sets of ids of fixed size ---------------------------------------------
+
+BITMAP_BITS = 1 << 24
+
+
+def id_bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
+    """A bitmap of hashed ids (column id, long): at most bits / 64 words are sent
+    to the driver, whatever the input. It may hold more ids than were put in, so
+    it serves to leave out most of what a join would drop, never to decide."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    found = words.toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def maybe_in(df: DataFrame, bitmap: bytes, member: bool = True, bits: int = BITMAP_BITS) -> DataFrame:
+    """Rows of df whose doc_id may be in the bitmap, or those that surely aren't."""
+    held = df.sparkSession.sparkContext.broadcast(bitmap)
+    columns = df.columns
+
+    def keep(batches):
+        words = np.frombuffer(held.value, np.int64)
+        for batch in batches:
+            at = batch.column("_at").to_numpy()
+            inside = (words[at >> 6] >> (at & 63) & 1).astype(bool)
+            yield batch.select(columns).filter(pa.array(inside if member else ~inside))
+
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("bigint")
+    return df.withColumn("_at", at).mapInArrow(keep, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import packing, sharding, topk, warc
+from relspark.llm import minhash, packing, sharding, suffix, topk, warc
 from relspark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.quantised(table(spark, sf_dir, "embeddings")), lambda vec_id: vec_id % 50 == 0, 5)
 
 
+def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,9 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.measured(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_topk, op7_nnls_packing, op8_virtual_slots, op9_arc_to_warc)}
+    return {f.__name__: f for f in (op1_pivot_topk, op5_minhash_classes, op7_nnls_packing, op8_virtual_slots, op9_arc_to_warc, op10_bwt_repeats)}
