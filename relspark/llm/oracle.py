@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from relspark.llm import quality
+
 OP1 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
@@ -18,6 +20,46 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+_OP3_COUNTS = r"""
+t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) AS lines
+  FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t)
+), r AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM r) GROUP BY doc_id
+), q AS (
+  SELECT t.doc_id, coalesce('=' || lang, '') AS _lang, coalesce('=' || source, '') AS _source,
+    CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    len(lines) AS n_lines
+  FROM t LEFT JOIN c ON t.doc_id = c.doc_id
+), x AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CAST(floor(100 * sqrt(CAST(word_chars AS DOUBLE) / greatest(CAST(n_words AS DOUBLE), 1.0))) AS BIGINT) AS x1,
+    CAST(floor(100 * sqrt(CAST(n_symbols AS DOUBLE) / greatest(CAST(n_words AS DOUBLE), 1.0))) AS BIGINT) AS x2,
+    CAST(floor(100 * sqrt(CAST(n_dup_lines AS DOUBLE) / greatest(CAST(n_lines AS DOUBLE), 1.0))) AS BIGINT) AS x3,
+    CAST(floor(100 * sqrt(CAST(n_repeat_words AS DOUBLE) / greatest(CAST(n_words AS DOUBLE), 1.0))) AS BIGINT) AS x4
+  FROM q
+)"""
+_CELLS = "SELECT _lang, _source, x1, x2, x3, x4, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL"
+_OWN = "(SELECT x.*, e.* EXCLUDE (_lang, _source) FROM x JOIN est AS e ON x._lang = e._lang AND x._source = e._source) AS own"
+_ALL = "(SELECT x.*, e.* EXCLUDE (_lang, _source) FROM x JOIN est AS e ON e._lang = '*' WHERE NOT EXISTS (SELECT 1 FROM est AS o WHERE o._lang = x._lang AND o._source = x._source)) AS pooled"
+_OP3_RESULT = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= "
+OP3 = f"""
+WITH {_OP3_COUNTS}, est AS ({quality.estimates_sql(_CELLS)})
+SELECT {_OP3_RESULT}{quality.CUTOFF} AS kept FROM {quality.distance_sql(_OWN)} AS a
+UNION ALL
+SELECT {_OP3_RESULT}{quality.CUTOFF} AS kept FROM {quality.distance_sql(_ALL)} AS b
+"""
+
 OP5 = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -56,4 +98,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1, "op5_minhash_classes": OP5, "op9_arc_to_warc": OP9}
+    return {"op1_pivot_topk": OP1, "op3_robust_outliers": OP3, "op5_minhash_classes": OP5, "op9_arc_to_warc": OP9}
