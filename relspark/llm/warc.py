@@ -6,8 +6,8 @@ converter trusts only declared lengths, never blank lines, and synthesises what
 WARC wants besides: record ids, ISO timestamps, record types and digests.
 
 Archives are written by Spark's text writer with the blank line pair that ends
-a WARC record as line separator, so that every file is a valid .warc written
-through Hadoop's commit protocol, to any store Spark can write.
+a WARC record as line separator, so that every file is a valid gzipped WARC
+written through Hadoop's commit protocol, to any store Spark can write.
 
 Nulls: a null html is an empty payload, a null url becomes about:blank, a null
 page_id is kept and never referred to. Empty tables give empty results, repeated
@@ -16,6 +16,7 @@ rows one record each, other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -207,7 +208,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     marked = rows.join(revisit_targets(pages), "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("first_id"))
     # A repeated page_id: all rows with the smallest id are responses.
     archives = marked.mapInArrow(_convert, "value string")
-    archives.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    archives.write.option("compression", "gzip").option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in parse_warc(content.as_py()):
+            for fields, block in parse_warc(gzip.decompress(content.as_py())):
                 kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
                 size = int(fields["warc-x-payload-length"])
                 if kind == "response":
