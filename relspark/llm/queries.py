@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import minhash, packing, quality, sharding, suffix, topk, warc
+from relspark.llm import boosting, minhash, mixing, packing, quality, sharding, suffix, topk, warc
 from relspark.llm.common import table
 
 
@@ -15,10 +15,18 @@ def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.quantised(table(spark, sf_dir, "embeddings")), lambda vec_id: vec_id % 50 == 0, 5)
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -40,4 +48,4 @@ def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_topk, op3_robust_outliers, op5_minhash_classes, op7_nnls_packing, op8_virtual_slots, op9_arc_to_warc, op10_bwt_repeats)}
+    return {f.__name__: f for f in (op1_pivot_topk, op2_temperature_mixing, op3_robust_outliers, op4_boosted_quality, op5_minhash_classes, op7_nnls_packing, op8_virtual_slots, op9_arc_to_warc, op10_bwt_repeats)}
