@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import boosting, minhash, mixing, packing, quality, sharding, suffix, topk, warc
+from relspark.llm import boosting, lm, minhash, mixing, packing, quality, sharding, suffix, topk, warc
 from relspark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_probabilities(table(spark, sf_dir, "documents"))
+
+
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_topk, op2_temperature_mixing, op3_robust_outliers, op4_boosted_quality, op5_minhash_classes, op7_nnls_packing, op8_virtual_slots, op9_arc_to_warc, op10_bwt_repeats)}
+    return {f.__name__: f for f in (op1_pivot_topk, op2_temperature_mixing, op3_robust_outliers, op4_boosted_quality, op5_minhash_classes, op6_gru_language_model, op7_nnls_packing, op8_virtual_slots, op9_arc_to_warc, op10_bwt_repeats)}
