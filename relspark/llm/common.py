@@ -17,7 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SCRATCH: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch on its way to Python; a single longer text is a batch of its own.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

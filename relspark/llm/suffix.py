@@ -39,11 +39,11 @@ from relspark.llm.common import cut, id_bitmap, maybe_in, shuffle_width
 LENGTH = 100
 GRAM = 30
 #: Bytes of text that are looked at together, and positions that fit an anchor's low bits.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 _POSITION = (1 << 26) - 1
 #: Runs that a task holds before it hands them on.
-HOLD_RUNS = 1 << 20
-BLOCK_BYTES = 1 << 20
+HOLD_RUNS = 1 << 18
+BLOCK_BYTES = 1 << 18
 HOT_RUNS = 20_000
 U64 = np.uint64
 
