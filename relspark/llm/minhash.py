@@ -8,12 +8,15 @@ pairs. Only those rare pairs, a set's prefix, are merged; frequent lists are
 skipped, and pairs that one set alone holds count for nobody. Colliding sets are
 counted over the whole signature and, above MATCHES, confirmed on full sets.
 
-Merging goes in two rounds, so that lists of many copies don't give all pairs:
-first each member of a list meets the list's smallest id, and confirmed links
-are contracted to components; then all members of a list that still lie in
-different components meet, in cells of bounded size. Pairs within a component
-can't change the result. Links between different sets are lost only by MinHash
-chance; identical sets are one node from the start.
+Lists give no pairs of all their members. First each member of a list meets the
+list's smallest id; colliding pairs are contracted to clusters. Then members of a list
+that lie in different clusters meet, in cells of bounded size. Any two sets that could
+be linked now share a cluster, and each set goes once, with its text, to where its
+cluster is confirmed on full sets: in chunks of CHUNK sets, then between the chunks'
+components, then between the chunks themselves where components are left apart. Pairs
+that are connected already are skipped, as they can't change the result, so large
+groups of copies cost in proportion to their size. Links between different sets are
+lost only by MinHash chance; identical sets are one node from the start.
 
 Shingles are represented by 64-bit hashes, so full sets are compared up to
 collisions (below 1e-12 for a million shingles). Texts without words, null texts
@@ -30,19 +33,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
-from relspark.llm.common import cut
+from relspark.llm.common import cut, id_bitmap, maybe_in
 from relspark.llm.components import components
 
 COORDINATES = 64
 MATCHES = 30
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Members of a list that meet all at once.
+#: Members of a list that meet all at once, and sets that are confirmed at once.
 CELL = 512
+CHUNK = 256
 _RNG = np.random.default_rng(19970625)
 _FACTORS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -130,33 +134,6 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array([r.tobytes() for r in low], pa.binary())], ["rep", "n", "low"])
 
 
-def _confirm(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = list(shingle_sets(batch.column("text_y").to_pylist(), width))
-                keep = np.zeros(batch.num_rows, bool)
-                for i, x in enumerate(batch.column("x").to_pylist()):
-                    if x != last:
-                        last, hub = x, next(shingle_sets([batch.column("text_x")[i].as_py()], width))
-                    y = sets[i]
-                    common = len(np.intersect1d(hub, y, assume_unique=True))
-                    keep[i] = 100 * common >= PERCENT * (len(hub) + len(y) - common)
-                yield batch.select(["x", "y"]).filter(pa.array(keep))
-
-    return run
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough. y's text goes to where
-    x's is; pairs of one x stand together, so its set is made once."""
-    with_y = pairs.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y")), "y")
-    both = with_y.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
-    return both.select("x", "y", "text_x", "text_y").mapInArrow(_confirm(width), "x long, y long")
-
-
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of rows of one cell (rows come sorted by cell) from different
     components and, where two chunks meet, from different chunks."""
@@ -213,6 +190,104 @@ def residual_pairs(postings: DataFrame, low: DataFrame, found: DataFrame) -> Dat
     return celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "x long, y long").distinct()
 
 
+# ---- confirmation -----------------------------------------------------------
+
+
+def links_within(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect sets with different labels; a link between sets that earlier
+    links connect isn't looked for. Sets of one side don't meet, unless it is negative."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, labels, sides = sizes[order], labels[order].copy(), sides[order]
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    shingles, number = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    last = np.searchsorted(sizes, sizes * 100 // PERCENT, "right")  # the largest sets that each could be linked with
+    out = []
+    for i in range(len(sets)):
+        a, b = i + 1, int(last[i])
+        if b <= a:
+            continue
+        meets = (labels[a:b] != labels[i]) & ((sides[a:b] != sides[i]) | (sides[i] < 0))
+        if not meets.any():
+            continue
+        here = np.zeros(len(shingles), bool)
+        here[number[begins[i] : ends[i]]] = True
+        hits = np.concatenate([[0], np.cumsum(here[number[begins[a] : ends[b - 1]]])])
+        common = hits[ends[a:b] - begins[a]] - hits[begins[a:b] - begins[a]]
+        for j in np.flatnonzero(meets & (100 * common >= PERCENT * (sizes[i] + sizes[a:b] - common))) + a:
+            if labels[j] != labels[i]:
+                out.append((int(order[i]), int(order[j])))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _confirm(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of each cell; rows come sorted by cell."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        reps = [r[0] for r in rows]
+        sets = [x for at in range(0, len(rows), 64) for x in shingle_sets([r[3] for r in rows[at : at + 64]], width)]
+        found = links_within(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in found], pa.int64()), pa.array([reps[j] for _, j in found], pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "rep", "component", "side", "text")), strict=True):
+                if rows and cell != key:
+                    yield links(rows)
+                    rows = []
+                key = cell
+                rows.append(row)
+        if rows:
+            yield links(rows)
+
+    return run
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def confirmed(texts: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
+    """Components by confirmed links within clusters, as components() gives them."""
+    members = clusters.union(clusters.select(F.col("component").alias("node"), "component")).distinct()
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = members.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    bitmap = id_bitmap(placed.select(F.col("rep").alias("id")))
+    # Most texts need no shuffle: they belong to no cluster.
+    held = cut(maybe_in(texts, bitmap).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "chunks", "chunk", "text"), "clustered")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_confirm(width), "u long, v long"), "links")
+
+    alone = held.select(F.xxhash64("cluster", "chunk").alias("cell"), "rep", F.col("rep").alias("component"), F.lit(-1).alias("side"), "text")
+    edges = linked(alone)
+    found = components(edges)
+    if held.where("chunks > 1").isEmpty():
+        return found
+
+    def apart() -> DataFrame:
+        """Members of large clusters that have more than one component left."""
+        large = held.where("chunks > 1").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_ones = large.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cluster")
+        return large.join(open_ones, "cluster", "left_semi")
+
+    # Between the chunks' components: the smallest set id of each stands for it.
+    heads = apart().where("rep = component")
+    counts = heads.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    dealt = heads.join(counts, "cluster").select(F.xxhash64("cluster", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("cell"), "rep", "component", F.lit(-1).alias("side"), "text")
+    found = components(_edges(found).union(linked(dealt)))
+
+    # Between the chunks, where components are still apart.
+    rest = apart().withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
+    cell = F.xxhash64("cluster", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    last = linked(rest.select(cell.alias("cell"), "rep", "component", F.col("chunk").alias("side"), "text"))
+    return found if last.isEmpty() else components(_edges(found).union(last))
+
+
 def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,19 +298,15 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     )
     postings = cut(prefixes(reps), "prefixes")
     low = cut(reps.join(postings.select("rep").distinct(), "rep", "left_semi").mapInArrow(_low_bytes, "rep long, n int, low binary"), "low-bytes")
-    rep_texts = texts.join(low.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rep_texts = cut(rep_texts, "candidate-texts")
-
     hubs = postings.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = postings.join(hubs, "token").where("rep <> hub.rep").where(_near_size("n", "hub.n")).select(F.col("hub.rep").alias("x"), F.col("rep").alias("y")).distinct()
     signed = stars.join(low.select(F.col("rep").alias("x"), F.col("low").alias("a")), "x").join(low.select(F.col("rep").alias("y"), F.col("low").alias("b")), "y")
-    linked = cut(confirmed(signed.select("x", "y", "a", "b").mapInArrow(_collisions, "x long, y long"), rep_texts, width), "links")
-    found = components(linked.select(F.col("x").alias("u"), F.col("y").alias("v")))
-
-    more = cut(confirmed(residual_pairs(postings, low, found), rep_texts, width), "links")
+    near = cut(signed.select("x", "y", "a", "b").mapInArrow(_collisions, "x long, y long").select(F.col("x").alias("u"), F.col("y").alias("v")), "near")
+    clusters = components(near)
+    more = cut(residual_pairs(postings, low, clusters).select(F.col("x").alias("u"), F.col("y").alias("v")), "near")
     if not more.isEmpty():
-        edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("x", "y"))
-        found = components(edges)
+        clusters = components(_edges(clusters).union(more))
+    found = confirmed(texts, clusters, width)
 
     label = reps.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return features.select("doc_id", "n_shingles", "key").join(label, "key", "left").select(
