@@ -141,7 +141,8 @@ def search_cell(blocks: list[dict], queries: tuple[np.ndarray, np.ndarray], pivo
         bounds[:] = np.inf
     slack = 0.5 + 1e-9 * largest
     order = np.argsort(-bounds, 1, kind="stable")
-    best_score = np.full((len(q), k), -np.inf if exact else np.iinfo(np.int64).min, kind)
+    lowest = -np.inf if exact else np.iinfo(np.int64).min + 1  # can be negated
+    best_score = np.full((len(q), k), lowest, kind)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
     filled = np.zeros(len(q), np.int64)
     alive = np.arange(len(q))
@@ -156,7 +157,6 @@ def search_cell(blocks: list[dict], queries: tuple[np.ndarray, np.ndarray], pivo
             scores = q[mine].astype(kind) @ vectors.T.astype(kind)
             own = ids[None] == query_ids[mine, None]
             take = min(k, len(ids))
-            lowest = -np.inf if exact else np.iinfo(np.int64).min
             scores[own] = lowest
             kth = np.partition(scores, len(ids) - take, 1)[:, len(ids) - take]
             row, col = np.nonzero((scores >= kth[:, None]) & ~own)
@@ -197,7 +197,8 @@ def search(vectors: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFr
     spark = vectors.sparkSession
     sample = vectors.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     dim = max(({len(r.v) for r in sample}), key=lambda d: (sum(len(r.v) == d for r in sample), d), default=0)
-    points = np.array([r.v for r in sample if len(r.v) == dim], float).reshape(-1, dim)
+    chosen = [r.v for r in sample if len(r.v) == dim]
+    points = np.array(chosen, float).reshape(len(chosen), dim)
     largest = float(vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0)
     index = cut(vectors.mapInArrow(_index(points, largest), INDEXED), "pivot-index")
 
