@@ -315,3 +315,19 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, width: int = 2) -> DataFrame:
+    """One row of docs for each class: the smallest id's. Same columns. Rows without an
+    id are linked with nothing and stay. Of repeated rows, one stays. Only documents that
+    go, or whose id is repeated, are shuffled with their texts."""
+    found = cut(classes(docs, width), "classes")
+    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    touched = cut(gone.withColumn("_gone", F.lit(True)).unionByName(repeated.withColumn("_gone", F.lit(False))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("_gone").alias("_gone")), "touched")
+    bitmap = id_bitmap(touched.select(F.col("_id").alias("id")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    untouched = maybe_in(packed, bitmap, member=False)
+    joined = maybe_in(packed, bitmap).join(touched, F.col("doc_id") == F.col("_id"), "left").where("_gone is null or not _gone")
+    once = joined.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("_doc.text").cast("binary"))))).where("_gone is null or _n = 1")
+    return untouched.select("_doc").union(once.select("_doc")).select(*(F.col(f"_doc.{c}").alias(c) for c in docs.columns))

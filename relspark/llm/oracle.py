@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relspark.llm import quality
+from relspark.llm import mixing, quality
 
 OP1 = """
 WITH v AS (
@@ -20,6 +20,59 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+_LIVE = "(SELECT tokens / (SELECT sum(tokens) FROM tot) AS p FROM tot WHERE tokens > 0) AS live"
+_ENTROPY = "ln(sum(pow(p, a))) - sum(pow(p, a) * ln(pow(p, a))) / sum(pow(p, a))"
+_REPEATS = "max(pow(p, a - 1)) / sum(pow(p, a))"
+
+
+def _bisection(name: str, start: str, holds: str) -> str:
+    return f"""{name}(i, low, high) AS (
+  {start}
+  UNION ALL
+  SELECT i + 1, CASE WHEN holds THEN middle ELSE low END, CASE WHEN holds THEN high ELSE middle END
+  FROM (SELECT i, low, high, middle, {holds} AS holds FROM (
+    SELECT i, low, high, (low + high) // 2 AS middle, ((low + high) // 2) / {mixing.GRID}.0 AS a, p FROM {name}, {_LIVE} WHERE i < {mixing.BISECTIONS}
+  ) GROUP BY i, low, high, middle)
+)"""
+
+
+OP2 = f"""
+WITH RECURSIVE m AS MATERIALIZED (
+  SELECT doc_id, source, coalesce('=' || source, '') AS s,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS tokens,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS hash
+  FROM documents
+), tot AS MATERIALIZED (SELECT s, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM m GROUP BY s
+), goal AS MATERIALIZED (SELECT {mixing.TARGET_ENTROPY} * ln(greatest(count(*), 1)) - 1e-9 AS wanted FROM tot WHERE tokens > 0
+), {_bisection("warm", f"SELECT 0, CAST(0 AS BIGINT), CAST({mixing.GRID} AS BIGINT)", f"{_ENTROPY} >= (SELECT wanted FROM goal)")},
+flat AS MATERIALIZED (
+  SELECT CASE WHEN (SELECT {_ENTROPY} FROM (SELECT p, 1.0 AS a FROM {_LIVE})) >= (SELECT wanted FROM goal) THEN {mixing.GRID} ELSE max(low) END AS e FROM warm WHERE i = {mixing.BISECTIONS}
+), {_bisection("cool", f"SELECT 0, e, CAST({mixing.GRID} AS BIGINT) FROM flat", f"{_REPEATS} > {mixing.MAX_REPEATS} + 1e-9")},
+chosen AS MATERIALIZED (
+  SELECT CASE WHEN (SELECT {_REPEATS} FROM (SELECT p, (SELECT e FROM flat) / {mixing.GRID}.0 AS a FROM {_LIVE})) <= {mixing.MAX_REPEATS} + 1e-9 THEN (SELECT e FROM flat) ELSE max(high) END / {mixing.GRID}.0 AS a
+  FROM cool WHERE i = {mixing.BISECTIONS}
+), w AS MATERIALIZED (
+  SELECT s, n, tokens, (SELECT sum(tokens) FROM tot) AS whole,
+    CASE WHEN tokens > 0 THEN CAST(round(pow(tokens / (SELECT sum(tokens) FROM tot), (SELECT a FROM chosen)) / (SELECT sum(pow(p, (SELECT a FROM chosen))) FROM {_LIVE}) * {mixing.PPM}) AS BIGINT) ELSE 0 END AS weight_ppm
+  FROM tot
+), b AS MATERIALIZED (
+  SELECT *, budget - passes * tokens AS rest FROM (
+    SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS passes, CAST(ceil(n / {mixing.BLOCK_ROWS}.0) AS BIGINT) AS blocks
+    FROM (SELECT *, CAST(floor(weight_ppm * whole / {mixing.PPM}.0) AS BIGINT) AS budget FROM w))
+), d AS MATERIALIZED (
+  SELECT m.doc_id, m.source, m.s, m.tokens, m.hash, b.weight_ppm, b.budget, b.passes, b.rest, m.hash % b.blocks AS block FROM m JOIN b ON m.s = b.s
+), k AS (
+  SELECT s, block, upto <= rest AS whole, rest - (upto - tokens) AS room FROM (
+    SELECT *, sum(tokens) OVER (PARTITION BY s ORDER BY CAST('0x' || substr(md5(s || '|' || CAST(block AS VARCHAR)), 1, 13) AS BIGINT), block) AS upto
+    FROM (SELECT s, block, rest, sum(tokens) AS tokens FROM d GROUP BY s, block, rest))
+)
+SELECT doc_id, source, CAST(d.tokens AS BIGINT) AS n_tokens, weight_ppm, budget, d.block AS block,
+  CAST(passes + CASE
+    WHEN d.tokens = 0 THEN 0 WHEN k.whole THEN 1
+    WHEN sum(d.tokens) OVER (PARTITION BY d.s, d.block, d.tokens > 0 ORDER BY hash, doc_id) <= k.room THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM d JOIN k ON d.s = k.s AND d.block = k.block
+"""
+
 _OP3_COUNTS = r"""
 t AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -98,4 +151,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1, "op3_robust_outliers": OP3, "op5_minhash_classes": OP5, "op9_arc_to_warc": OP9}
+    return {"op1_pivot_topk": OP1, "op2_temperature_mixing": OP2, "op3_robust_outliers": OP3, "op5_minhash_classes": OP5, "op9_arc_to_warc": OP9}

@@ -426,3 +426,48 @@ def measured(docs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     same = maybe_in(rows, bitmap, member=False).select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     return changed.union(same)
+
+
+def whole_characters(raw: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans shrunk to the UTF-8 characters that lie in them entirely."""
+    out = []
+    for begin, end in gone:
+        while begin < end and raw[begin] & 0xC0 == 0x80:
+            begin += 1
+        while end > begin and end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        if begin < end:
+            out.append((begin, end))
+    return out
+
+
+def _trim(columns: list[str], text: str, n_chars: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new, keep = [], []
+            for value, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                raw = (value or "").encode("utf-8", "surrogatepass")
+                gone = whole_characters(raw, covered(spans or []))
+                new.append(kept_bytes(raw, gone).decode("utf-8", "surrogatepass") if gone else value)
+                keep.append(not gone or bool(new[-1].strip(" \t\n\x0b\x0c\r")))
+            doc = batch.column("_doc")
+            fields = {c: doc.field(i) for i, c in enumerate(columns)}
+            fields[text] = pa.array(new, fields[text].type)
+            if n_chars:
+                fields[n_chars] = pa.array([None if t is None else len(t) for t in new]).cast(fields[n_chars].type)
+            yield pa.RecordBatch.from_arrays([fields[c] for c in columns], columns).filter(pa.array(keep))
+
+    return run
+
+
+def remove(docs: DataFrame) -> DataFrame:
+    """docs without the repeated passages: same columns, text and n_chars (where there
+    is one) made anew. Characters are removed whole. A document of which no word is left
+    goes."""
+    columns = docs.columns
+    per_doc = cut(repeated_spans(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "spans")
+    bitmap = id_bitmap(per_doc.select(F.col("_id").alias("id")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    untouched = maybe_in(packed, bitmap, member=False).select(*(F.col(f"_doc.{c}").alias(c) for c in columns))
+    touched = maybe_in(packed, bitmap).join(per_doc, F.col("doc_id") == F.col("_id"), "left").select("_doc", F.col("_doc.text").cast("string").alias("_text"), "_spans")
+    return untouched.union(touched.mapInArrow(_trim(columns, "text", "n_chars" if "n_chars" in columns else None), docs.schema))

@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+import gzip
+import hashlib
+from pathlib import Path
+
+import pytest
+
+from relspark.llm import warc
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_arc_of_both_versions():
+    for version in (1, 2):
+        blocks = [b"HTTP/1.1 200 OK\r\n\r\nbody\n\nwith blank lines\n", b"", b"plain text 200\nURL x 5\n"]
+        data = warc.arc_head(version, "f.arc") + b"".join(warc.arc_record(version, f"http://a/{i} b", "20240102030405", b) for i, b in enumerate(blocks))
+        found = list(warc.parse_arc(data))
+        assert [r["block"] for r in found] == blocks
+        assert [r["url"] for r in found] == [f"http://a/{i}%20b" for i in range(3)]
+        assert {r["version"] for r in found} == {version}
+        assert [data[r["offset_in_file"] :].startswith(b"http://a/") for r in found] == [True] * 3
+
+
+@pytest.mark.parametrize("data", [b"no version block 5\nhello", b"http://x 0 0 t 3\nabc", warc.arc_head(1, "f") + b"http://x 1.1.1.1 20240101000000 text/html 99\nshort", warc.arc_head(1, "f") + b"http://x text/html 2\nab\n", warc.arc_head(2, "f") + b"cut"])
+def test_broken_arc_is_refused(data):
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(data))
+
+
+def test_conversion_synthesises_fields():
+    data = warc.arc_head(1, "f") + warc.arc_record(1, "http://a/", "20240102030405", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\npayload")
+    (record,) = warc.parse_arc(data)
+    raw = warc.arc_to_warc(record, -5) + b"\r\n\r\n" + warc.arc_to_warc(record, 6, refers_to=-5) + b"\r\n\r\n"
+    (fields, block), (again, head) = warc.parse_warc(raw)
+    assert fields["warc-date"] == "2024-01-02T03:04:05Z"
+    assert fields["warc-payload-digest"] == "sha256:" + hashlib.sha256(b"payload").hexdigest()
+    assert warc.split_http(block) == (b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n", b"payload")
+    assert (again["warc-type"], warc.key_of(again["warc-refers-to"]), warc.key_of(again["warc-record-id"])) == ("revisit", -5, 6)
+    assert head == b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+
+
+@pytest.mark.parametrize("key", [0, 1, -1, 2**63 - 1, -(2**63), 12345678901, None])
+def test_record_ids_can_be_read_back(key):
+    assert warc.key_of(f"<{warc.record_id(key)}>") == key
+
+
+def test_round_trip(spark, tmp_path):
+    big, html = "x" * 100, "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 20
+    rows = [(1, "http://a", html), (2, "http://b", html), (3, None, "short"), (4, "u", "short"), (5, "u v\n", None), (6, "", ""), (-7, "n", big), (8, "n", big), (9, "n", big), (10, "n", "y" * 99), (11, "n", "y" * 99), (None, "n", big), (None, None, None)]
+    found = {}
+    for r in warc.round_trip(spark.createDataFrame(rows, PAGES)).collect():
+        found.setdefault(r.page_id, []).append((r.payload_bytes, r.payload_digest, r.record_type, r.refers_to))
+    one = lambda t, *rest: (len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest(), *rest)
+    assert sorted(found.pop(None)) == sorted([one(big, "revisit", -7), one(None, "response", None)], key=lambda x: x[0])
+    assert found == {
+        1: [one(html, "response", None)], 2: [one(html, "revisit", 1)], 3: [one("short", "response", None)], 4: [one("short", "response", None)],
+        5: [one("", "response", None)], 6: [one("", "response", None)], -7: [one(big, "response", None)], 8: [one(big, "revisit", -7)], 9: [one(big, "revisit", -7)],
+        10: [one("y" * 99, "response", None)], 11: [one("y" * 99, "response", None)],
+    }
+
+
+def test_files_are_valid_archives(spark, tmp_path):
+    path = str(tmp_path / "out")
+    warc.write_archives(spark.createDataFrame([(i, "http://a", f"page {i} " * 30) for i in range(50)], PAGES), path)
+    records = [r for f in Path(path).glob("*.gz") for r in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    assert sorted(warc.key_of(f["warc-record-id"]) for f, _ in records) == list(range(50))
+
+
+def test_extra_columns_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "u", "z" * 200, "d", 5, "resp")] * 2 + [(2, "u", "z" * 200, None, None, None)]
+    pages = spark.createDataFrame(rows, PAGES + ", digest string, first_id long, value string")
+    assert sorted((r.page_id, r.record_type) for r in warc.round_trip(pages).collect()) == [(1, "response"), (1, "response"), (2, "revisit")]
+    assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
