@@ -6,7 +6,8 @@ in a document with a smaller id, or earlier in the same one.
 1. Windows of LENGTH bytes are dealt by content: each belongs to the smallest
    hashed k-gram within it, its anchor, so equal windows have equal anchors. The
    consecutive windows of one anchor are a run. Runs are counted by anchor; an
-   anchor with one run is done. Of equal runs, all but the first are repeats.
+   anchor with one run is done. Of equal runs, all but the first are repeats, which
+   every task settles for its own runs before it sends the first ones on.
 2. The distinct runs of an anchor that are left are cut from the texts and meet in
    blocks of bounded size. A block's Burrows-Wheeler transform is expanded breadth
    first: common prefixes of length 0 split the suffixes into intervals, and each
@@ -15,8 +16,10 @@ in a document with a smaller id, or earlier in the same one.
    many bytes. Every member of a class but its first is a repeat.
 3. Covered bytes are united per document.
 
-Anchors with more than HOT_RUNS distinct runs are split further, by whole windows,
-whose minima are summed up before the shuffle.
+Anchors that are frequent in a sample of SAMPLE_DOCUMENTS are dealt by the runs' bytes
+as well, so that their runs don't meet in one task; which ones these are changes only
+where the work is done. Anchors with more than HOT_RUNS distinct runs are split further,
+by whole windows, whose minima are summed up before the shuffle.
 
 Nulls: a null text is empty; rows without an id take no part and lose nothing.
 Rows that share an id are one document: neither repeats the other at the same
@@ -45,10 +48,15 @@ _POSITION = (1 << 26) - 1
 HOLD_RUNS = 1 << 18
 BLOCK_BYTES = 1 << 18
 HOT_RUNS = 20_000
+#: Documents from which frequent anchors are guessed, and occurrences that make one.
+SAMPLE_DOCUMENTS = 8_000
+FREQUENT = 16
 U64 = np.uint64
 
 REPEATS = "kind int, doc_id long, start long, n int, anchor long"
-RUN, HOT, SPAN = 1, 2, 0
+#: Kinds of rows: repeated windows; the first of a distinct run, of an ordinary anchor, of
+#: one with very many, and of one that was dealt by bytes too.
+SPAN, RUN, HOT, SPLIT = 0, 1, 2, 3
 
 
 # ---- runs ------------------------------------------------------------------
@@ -111,6 +119,9 @@ def _pieces(ids: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, li
 _RUN = np.dtype([("anchor", "<u8"), ("cover", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")])
 
 
+_LOW48 = U64((1 << 48) - 1)
+
+
 def _packed(a: np.ndarray) -> bytes:
     """Column by column, which compresses well; hashes are cut to 48 bits."""
     six = [np.ascontiguousarray(a[c]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for c in ("anchor", "cover")]
@@ -132,65 +143,97 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        a = np.concatenate(held)
-        bucket = (a["anchor"] & U64((1 << 48) - 1)) % U64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        a, bucket = a[order], bucket[order].astype(np.int32)
-        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        blobs = [_packed(x) for x in np.split(a, first[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], ["bucket", "runs"])
+def _leaders(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in order of anchor, bytes and place; which are the first of their anchor
+    and bytes; which are at another place than that first one."""
+    a = a[np.lexsort((a["start"], a["doc"], a["cover"], a["anchor"]))]
+    new = np.r_[True, (a["anchor"][1:] != a["anchor"][:-1]) | (a["cover"][1:] != a["cover"][:-1])][: len(a)]
+    leader = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    return a, new, (a["doc"] != a["doc"][leader]) | (a["start"] != a["start"][leader])
+
+
+def _tasks_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The runs of a task's texts, HOLD_RUNS or so at a time, hashes cut to 48 bits."""
+    held, size = [], 0
+    for batch in batches:
+        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        for ids, pieces, at in _pieces(batch.column("doc_id").to_pylist(), texts):
+            text, start, count, anchor, cover = runs(*tk.join_texts(pieces))
+            a = np.empty(len(text), _RUN)
+            a["anchor"], a["cover"], a["doc"], a["start"], a["n"] = anchor & _LOW48, cover & _LOW48, ids[text], start + at[text], count
+            held.append(a)
+            size += len(a)
+            if size >= HOLD_RUNS:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for a in _tasks_runs(batches):
+        anchor, n = np.unique(a["anchor"], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+
+def _deal(buckets: int, frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blobs of runs by bucket. Buckets from `buckets` on are those of frequent anchors;
+    bucket -1 - b holds repeats that this task has settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            for ids, pieces, at in _pieces(batch.column("doc_id").to_pylist(), texts):
-                text, start, count, anchor, cover = runs(*tk.join_texts(pieces))
-                a = np.empty(len(text), _RUN)
-                a["anchor"], a["cover"], a["doc"], a["start"], a["n"] = anchor, cover, ids[text], start + at[text], count
-                held.append(a)
-                size += len(a)
-                if size >= HOLD_RUNS:
-                    yield out(held)
-                    held, size = [], 0
-        if size:
-            yield out(held)
+        for a in _tasks_runs(batches):
+            a, new, later = _leaders(a)
+            bucket = (a["anchor"] % U64(buckets)).astype(np.int64)
+            often = frequent[np.minimum(np.searchsorted(frequent, a["anchor"]), len(frequent) - 1)] == a["anchor"] if len(frequent) else np.zeros(len(a), bool)
+            bucket[often] = buckets + (tk.mix64(a["anchor"][often] ^ (a["cover"][often] << U64(13))) % U64(buckets)).astype(np.int64)
+            bucket[~new] = -1 - a["doc"][~new] % buckets
+            keep = new | later
+            a, bucket = a[keep], bucket[keep]
+            order = np.argsort(bucket, kind="stable")
+            a, bucket = a[order], bucket[order].astype(np.int32)
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([_packed(x) for x in np.split(a, first[1:])], pa.binary())], ["bucket", "runs"])
 
     return run
 
 
-def repeated_runs(a: np.ndarray, hot: int) -> pa.RecordBatch:
+def _rows(a: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    columns = [kind.astype(np.int32), a["doc"].copy(), a["start"].astype(np.int64), a["n"].astype(np.int32), a["anchor"].astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "doc_id", "start", "n", "anchor"])
+
+
+def repeated_runs(a: np.ndarray, hot: int, split: bool = False) -> pa.RecordBatch:
     """Of the runs of one bucket: later copies of equal runs, as spans; and the first
-    of each distinct run, where an anchor has several."""
-    _, which, counts = np.unique(a["anchor"], return_inverse=True, return_counts=True)
-    a = a[counts[which] > 1]
-    a = a[np.lexsort((a["start"], a["doc"], a["cover"], a["anchor"]))]
-    new_anchor = np.r_[True, a["anchor"][1:] != a["anchor"][:-1]][: len(a)]
-    new = new_anchor | np.r_[True, a["cover"][1:] != a["cover"][:-1]][: len(a)]
-    leader = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    later = (a["doc"] != a["doc"][leader]) | (a["start"] != a["start"][leader])
-    group = np.cumsum(new_anchor) - 1
+    of each distinct run, where an anchor has several. With split, an anchor's other
+    runs may be in other buckets."""
+    if not split:
+        _, which, counts = np.unique(a["anchor"], return_inverse=True, return_counts=True)
+        a = a[counts[which] > 1]
+    a, new, later = _leaders(a)
+    group = np.cumsum(np.r_[True, a["anchor"][1:] != a["anchor"][:-1]][: len(a)]) - 1
     distinct = np.bincount(group, new).astype(np.int64)[group] if len(a) else group
-    kind = np.where(new, np.where(distinct > hot, HOT, RUN), SPAN).astype(np.int32)
-    keep = np.where(new, distinct > 1, later)
-    a, kind = a[keep], kind[keep]
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a["doc"].copy()), pa.array(a["start"].astype(np.int64)), pa.array(a["n"].astype(np.int32)), pa.array(a["anchor"].astype(np.int64))], ["kind", "doc_id", "start", "n", "anchor"])
+    kind = np.where(new, SPLIT if split else np.where(distinct > hot, HOT, RUN), SPAN)
+    keep = np.where(new, split | (distinct > 1), later)
+    return _rows(a[keep], kind[keep])
 
 
-def _count(hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(buckets: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def done(bucket: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        a = np.concatenate(held)
+        return _rows(a, np.full(len(a), SPAN)) if bucket < 0 else repeated_runs(a, hot, split=bucket >= buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, size = None, [], 0
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("runs"), strict=True):
-                if held and bucket != key:
-                    yield repeated_runs(np.concatenate(held), hot)
-                    held = []
+                if held and (bucket != key or (bucket < 0 and size >= HOLD_RUNS)):
+                    yield done(key, held)
+                    held, size = [], 0
                 key = bucket
                 held.append(_unpacked(blob.as_py()))
+                size += len(held[-1])
         if held:
-            yield repeated_runs(np.concatenate(held), hot)
+            yield done(key, held)
 
     return run
 
@@ -358,13 +401,26 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _classified(repeats: DataFrame, hot: int) -> DataFrame:
+    """Split runs become ordinary or hot ones by the number of their anchor's; a single
+    one is no repeat. The counts are as many as there are frequent anchors."""
+    counts = F.broadcast(repeats.where(F.col("kind") == SPLIT).groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).withColumn("kind", F.lit(SPLIT)))
+    joined = repeats.join(counts, ["anchor", "kind"], "left").where((F.col("kind") != SPLIT) | (F.col("runs") > 1))
+    kind = F.when(F.col("kind") != SPLIT, F.col("kind")).when(F.col("runs") > hot, HOT).otherwise(RUN)
+    return joined.select(kind.alias("kind"), "doc_id", "start", "n", "anchor")
+
+
 def repeated_spans(docs: DataFrame, hot: int = HOT_RUNS) -> DataFrame:
     """doc_id, start, n: n windows from start on that also start earlier."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     buckets = 8 * shuffle_width(spark)
-    dealt = texts.mapInArrow(_deal(buckets), "bucket int, runs binary")
-    repeats = cut(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(hot), REPEATS), "repeats")
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
+    often = texts.sample(share, 1).mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = np.sort(often.select("anchor").toArrow().column("anchor").to_numpy()).astype(U64)  # SAMPLE_DOCUMENTS bounds it
+    dealt = texts.mapInArrow(_deal(buckets, frequent), "bucket int, runs binary")
+    found_runs = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(buckets, hot), REPEATS)
+    repeats = _classified(cut(found_runs, "repeats"), hot) if len(frequent) else cut(found_runs, "repeats")
     spans = repeats.where(F.col("kind") == SPAN).select("doc_id", "start", "n")
 
     def wanted(kind: int) -> DataFrame:

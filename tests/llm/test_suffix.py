@@ -61,6 +61,18 @@ def test_hot_anchors_are_split_exactly(spark, documents, monkeypatch):
     assert result(suffix.measured(documents(rows))) == brute(rows)
 
 
+def test_frequent_anchors_are_dealt_by_bytes_exactly(documents, monkeypatch):
+    rows = corpus(6)
+    for frequent, hot in ((2, 20_000), (2, 3), (10**9, 20_000)):
+        monkeypatch.setattr(suffix, "FREQUENT", frequent)
+        monkeypatch.setattr(suffix, "HOLD_RUNS", 50)  # many rounds, each settling its own repeats
+        monkeypatch.setattr(suffix, "BATCH_BYTES", 2000)
+        original = suffix.repeated_spans
+        with monkeypatch.context() as m:
+            m.setattr(suffix, "repeated_spans", lambda docs, original=original, hot=hot: original(docs, hot=hot))
+            assert result(suffix.measured(documents(rows))) == brute(rows)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_classes_by_interval_expansion(seed):
     """Small alphabets and lengths, so that intervals split in every way."""
