@@ -188,3 +188,22 @@ def test_statistics(load):
     found = load("t", (("a", "INT"), ("s", "STRING")), [(1, "x"), (2, "y"), (2, "z")]).statistics("t")
     assert found.rows == 3
     assert (found.columns["a"].distinct, found.columns["a"].least, found.columns["a"].most) == (2, 1, 2)
+
+
+@pytest.mark.parametrize(
+    ("query", "plan"),
+    [
+        ("SELECT id, n FROM u WHERE id >= 10", "Project[id, n](Filter[(id >= 10)](Scan u))"),
+        ("SELECT * FROM u", "Scan u"),
+        ("SELECT * FROM u WHERE TRUE", "Filter[TRUE](Scan u)"),
+        ("SELECT x.n FROM u x, v WHERE x.id = v.id AND v.id > 1 AND NOT n = 'a'", "Project[n](Filter[(v.id > 1) AND NOT (n = 'a')](Join[(x.id = v.id)](Scan u AS x, Scan v)))"),
+        ("SELECT a.id FROM u a, u b, v WHERE a.id = v.id AND a.id = b.id", "Project[id](Join[(a.id = v.id)](Join[(a.id = b.id)](Scan u AS a, Scan u AS b), Scan v))"),
+        ("SELECT n, COUNT(*) FROM u GROUP BY n, id", "Aggregate[2 keys: n, count_*](Scan u)"),
+        ("SELECT u.id FROM u, v", "Project[id](Join[TRUE](Scan u, Scan v))"),
+    ],
+)
+def test_bound_plans(load, query, plan):
+    load("u", (("id", "INT"), ("n", "STRING")))
+    e = load("v", (("id", "INT"),))
+    assert e.plan(query) == plan
+    assert "Physical Plan" in e.explain(query, mode="formatted")
