@@ -12,10 +12,11 @@ Lists give no pairs of all their members. First each member of a list meets the
 list's smallest id; colliding pairs are contracted to clusters. Then members of a list
 that lie in different clusters meet, in cells of bounded size. Any two sets that could
 be linked now share a cluster, and each set goes once, with its text, to where its
-cluster is confirmed on full sets: in chunks of CHUNK sets, then between the chunks'
-components, then between the chunks themselves where components are left apart. Pairs
-that are connected already are skipped, as they can't change the result, so large
-groups of copies cost in proportion to their size. Links between different sets are
+cluster is confirmed on full sets: in chunks of CHUNK sets at most, then between the chunks'
+components, and then every set outside its cluster's largest component meets all of its
+cluster. Pairs that are connected already are skipped, as they can't change the result,
+so groups whose sets are linked cost in proportion to their size. (Groups of sets that
+are alike, but too little to be linked, cost the square of it.) Links between different sets are
 lost only by MinHash chance; identical sets are one node from the start.
 
 Shingles are represented by 64-bit hashes, so full sets are compared up to
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
@@ -47,6 +48,8 @@ PERCENT = 80
 #: Members of a list that meet all at once, and sets that are confirmed at once.
 CELL = 512
 CHUNK = 256
+#: Shingles of the sets that are confirmed at once, as a few sets may be very large.
+CHUNK_SHINGLES = 1 << 18
 _RNG = np.random.default_rng(19970625)
 _FACTORS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -250,15 +253,21 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
-def confirmed(texts: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
-    """Components by confirmed links within clusters, as components() gives them."""
+def _parts() -> Column:
+    """How many chunks rows with n shingles each make."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.col("n").cast("bigint")) / CHUNK_SHINGLES)).cast("int")
+
+
+def confirmed(texts: DataFrame, sizes: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
+    """Components by confirmed links within clusters, as components() gives them.
+    sizes: rep, n."""
     members = clusters.union(clusters.select(F.col("component").alias("node"), "component")).distinct()
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = members.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    sized = members.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
+    placed = sized.join(sized.groupBy("cluster").agg(_parts().alias("chunks")), "cluster")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     bitmap = id_bitmap(placed.select(F.col("rep").alias("id")))
     # Most texts need no shuffle: they belong to no cluster.
-    held = cut(maybe_in(texts, bitmap).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "chunks", "chunk", "text"), "clustered")
+    held = cut(maybe_in(texts, bitmap).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "n", "cluster", "chunks", "chunk", "text"), "clustered")
 
     def linked(rows: DataFrame) -> DataFrame:
         return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_confirm(width), "u long, v long"), "links")
@@ -277,14 +286,28 @@ def confirmed(texts: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
 
     # Between the chunks' components: the smallest set id of each stands for it.
     heads = apart().where("rep = component")
-    counts = heads.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    counts = heads.groupBy("cluster").agg(_parts().alias("parts"))
     dealt = heads.join(counts, "cluster").select(F.xxhash64("cluster", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("cell"), "rep", "component", F.lit(-1).alias("side"), "text")
     found = components(_edges(found).union(linked(dealt)))
 
-    # Between the chunks, where components are still apart.
-    rest = apart().withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
-    cell = F.xxhash64("cluster", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    last = linked(rest.select(cell.alias("cell"), "rep", "component", F.col("chunk").alias("side"), "text"))
+    # Sets outside their cluster's largest component visit all its chunks, in groups of
+    # bounded size; the largest component's sets needn't meet each other.
+    rest = cut(apart(), "apart")
+    parts = rest.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    outside = rest.join(largest, "cluster").where("component <> largest")
+    groups = outside.groupBy("cluster").agg(_parts().alias("groups"))
+    visitors = outside.join(groups, "cluster").select(
+        "cluster",
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("at"),
+        F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("visit"),
+        "rep",
+        "component",
+        F.lit(1).alias("side"),
+        "text",
+    )
+    hosts = rest.join(groups, "cluster").select("cluster", F.col("chunk").alias("at"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("visit"), "rep", "component", F.lit(0).alias("side"), "text")
+    last = linked(visitors.union(hosts).select(F.xxhash64("cluster", "at", "visit").alias("cell"), "rep", "component", "side", "text"))
     return found if last.isEmpty() else components(_edges(found).union(last))
 
 
@@ -306,7 +329,7 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     more = cut(residual_pairs(postings, low, clusters).select(F.col("x").alias("u"), F.col("y").alias("v")), "near")
     if not more.isEmpty():
         clusters = components(_edges(clusters).union(more))
-    found = confirmed(texts, clusters, width)
+    found = confirmed(texts, low.select("rep", "n"), clusters, width)
 
     label = reps.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return features.select("doc_id", "n_shingles", "key").join(label, "key", "left").select(
@@ -330,4 +353,4 @@ def deduplicate(docs: DataFrame, width: int = 2) -> DataFrame:
     untouched = maybe_in(packed, bitmap, member=False)
     joined = maybe_in(packed, bitmap).join(touched, F.col("doc_id") == F.col("_id"), "left").where("_gone is null or not _gone")
     once = joined.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("_doc.text").cast("binary"))))).where("_gone is null or _n = 1")
-    return untouched.select("_doc").union(once.select("_doc")).select(*(F.col(f"_doc.{c}").alias(c) for c in docs.columns))
+    return untouched.select("_doc").union(once.select("_doc")).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))

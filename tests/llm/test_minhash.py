@@ -63,6 +63,7 @@ def test_against_all_pairs(documents, monkeypatch, seed, chunk):
     """With small chunks, clusters need all rounds of confirmation."""
     monkeypatch.setattr(minhash, "CHUNK", chunk)
     monkeypatch.setattr(minhash, "CELL", chunk)
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", chunk * 1000)
     rows = corpus(seed)
     expected = brute(rows)
     found = minhash.classes(documents(rows)).collect()
