@@ -21,15 +21,19 @@ ignored.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 WINDOW = 2048
 END_ID = 1
@@ -199,24 +203,19 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
     characters, or that it refuses, always take the first."""
     if vocabulary in _ENCODERS:
         return _ENCODERS[vocabulary]
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
     exact = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     exact.encode_special_tokens = True
 
     def slow(text: str) -> np.ndarray:
         return np.asarray(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    try:
-        import tiktoken
-
-        with open(public_tokenizers.path(vocabulary.replace(".json", ".tiktoken"))) as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
-        quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    except (ImportError, OSError):
+    ranks_file = public_tokenizers.path(vocabulary.replace(".json", ".tiktoken"))
+    if not os.path.exists(ranks_file):
         _ENCODERS[vocabulary] = slow
         return slow
+    with open(ranks_file) as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
+    quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def fast(text: str) -> np.ndarray:
         if _BEYOND.search(text):

@@ -211,7 +211,7 @@ def report(docs: DataFrame) -> DataFrame:
 def reject(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with the same columns. Texts are read and counted
     once and never shuffled by content; the estimates are joined to them."""
-    columns = [F.col(f"_doc.{c}") for c in docs.columns]
+    columns = [F.col("_doc").getField(c).alias(c) for c in docs.columns]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text", "lang", "source")
     rows = cut(vectors(counted(packed)).drop("text"), "quality-counts")
     return judged(rows, estimates(rows)).where("_kept").select(*columns)

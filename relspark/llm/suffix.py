@@ -524,6 +524,6 @@ def remove(docs: DataFrame) -> DataFrame:
     per_doc = cut(repeated_spans(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "spans")
     bitmap = id_bitmap(per_doc.select(F.col("_id").alias("id")))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    untouched = maybe_in(packed, bitmap, member=False).select(*(F.col(f"_doc.{c}").alias(c) for c in columns))
+    untouched = maybe_in(packed, bitmap, member=False).select(*(F.col("_doc").getField(c).alias(c) for c in columns))
     touched = maybe_in(packed, bitmap).join(per_doc, F.col("doc_id") == F.col("_id"), "left").select("_doc", F.col("_doc.text").cast("string").alias("_text"), "_spans")
     return untouched.union(touched.mapInArrow(_trim(columns, "text", "n_chars" if "n_chars" in columns else None), docs.schema))
