@@ -113,50 +113,67 @@ def weights(totals: DataFrame, target_entropy: float, max_repeats: float, cover:
     return scaled.withColumn("budget", F.greatest(F.col("tokens"), F.floor(F.coalesce(rate / F.col("least"), F.lit(1.0)) * F.col("tokens") + 1e-6)).cast("bigint"))
 
 
-def plan(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, cover: bool = False) -> DataFrame:
-    """docs plus _m (see measured), _w (weights) and copies: how often each document is
-    emitted. docs has _m already."""
-    totals = docs.groupBy(F.col("_m.source").alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.sum("_m.tokens").alias("tokens"))
+def limits(rows: DataFrame, target_entropy: float, max_repeats: float, cover: bool) -> DataFrame:
+    """A row per source that says what is emitted: passes over all of it; and, of the
+    permutation, the block where the budget ends and the last document taken there.
+
+    rows: doc_id, _m."""
+    totals = rows.groupBy(F.col("_m.source").alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.sum("_m.tokens").alias("tokens"))
     found = cut(weights(cut(totals, "mix-totals"), target_entropy, max_repeats, cover), "mix-weights")
     passes = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("bigint")
-    sources = found.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("bigint"))
-    detail = F.struct("exponent", "weight_ppm", "budget", "passes", "rest", "blocks")
-    joined = docs.join(sources.select(F.col("source").alias("_s"), detail.alias("_w")), F.col("_m.source") == F.col("_s")).drop("_s").withColumn("_b", F.pmod(F.col("_m.hash"), F.col("_w.blocks")))
-
-    blocks = joined.groupBy(F.col("_m.source").alias("s"), F.col("_b").alias("b"), F.col("_w.rest").alias("rest")).agg(F.sum("_m.tokens").alias("tokens"))
-    shuffled = Window.partitionBy("s").orderBy(_hash(F.col("s"), F.col("b").cast("string")), "b")
-    upto = F.sum("tokens").over(shuffled)
-    heads = blocks.withColumn("upto", upto).select(
-        F.col("s").alias("_hs"),
-        F.col("b").alias("_hb"),
-        (F.col("upto") <= F.col("rest")).alias("whole"),
-        (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("room"),
+    sources = found.select("source", "weight_ppm", "budget", passes.alias("passes"), (F.col("budget") - passes * F.col("tokens")).alias("rest"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("bigint").alias("blocks"))
+
+    placed = rows.select("doc_id", F.col("_m.source").alias("source"), F.col("_m.tokens").alias("tokens"), F.col("_m.hash").alias("hash")).join(sources.select("source", "rest", "blocks"), "source").withColumn("place", _place("source", "hash", "blocks"))
+    blocks = placed.groupBy("source", "place", "rest").agg(F.sum("tokens").alias("tokens"))
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("place"))
+    ends = (
+        blocks.withColumn("upto", upto)
+        .where(F.col("upto") > F.col("rest"))
+        .groupBy("source")
+        .agg(F.min(F.struct("place", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room"))).alias("end"))
+        .select("source", F.col("end.place").alias("place"), F.col("end.room").alias("room"))
     )
-    marked = joined.join(heads.where(F.col("whole") | (F.col("room") > 0)), (F.col("_m.source") == F.col("_hs")) & (F.col("_b") == F.col("_hb")), "left")
-    return marked.drop("_hs", "_hb")
+    # Only the documents of the blocks where budgets end are sorted.
+    taken = F.sum("tokens").over(Window.partitionBy("source", "place").orderBy("hash", "doc_id"))
+    last = placed.where("tokens > 0").join(ends, ["source", "place"]).withColumn("taken", taken).where("taken <= room").groupBy("source").agg(F.max(F.struct("hash", "doc_id")).alias("last"))
+    return cut(sources.join(ends.select("source", F.col("place").alias("end")), "source", "left").join(last, "source", "left"), "mix-limits")
+
+
+def _place(source: str, number: str, blocks: str) -> Column:
+    """Where a document's block stands in its source's permutation."""
+    block = F.pmod(F.col(number), F.col(blocks))
+    return F.struct(_hash(F.col(source), block.cast("string")).alias("at"), block.alias("block"))
+
+
+def counted(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc_id, _m and any others) with _l, their source's limits, the place of
+    their block and copies. The limits, a row per source, are joined to documents;
+    documents are neither sorted nor shuffled for it while sources are few."""
+    one = found.select(F.col("source").alias("_s"), F.struct("weight_ppm", "budget", "passes", "blocks", "end", "last").alias("_l"))
+    joined = docs.join(one, F.col("_m.source") == F.col("_s")).drop("_s").withColumns({"_h": F.col("_m.hash"), "_key": F.col("_m.source"), "_n": F.col("_l.blocks")})
+    placed = joined.withColumn("_place", _place("_key", "_h", "_n")).drop("_h", "_key", "_n")
+    inside = (F.col("_place") == F.col("_l.end")) & (F.struct(F.col("_m.hash").alias("hash"), F.col("doc_id").cast("bigint").alias("doc_id")) <= F.col("_l.last"))
+    more = F.coalesce((F.col("_place") < F.col("_l.end")) | inside, F.lit(False)) & (F.col("_m.tokens") > 0)
+    return placed.withColumn("copies", F.col("_l.passes") + more.cast("bigint"))
 
 
-def _copies(marked: DataFrame, id_columns: list[str]) -> DataFrame:
-    """Adds copies; only documents of blocks where a budget ends are sorted."""
-    ends = ~F.col("whole") & (F.col("_m.tokens") > 0)
-    inside = Window.partitionBy("_m.source", "_b", ends).orderBy("_m.hash", *id_columns)
-    taken = F.when(F.coalesce("whole", F.lit(False)), F.lit(1)).otherwise(0)
-    fast = marked.where(~F.coalesce(ends, F.lit(False))).withColumn("copies", F.col("_w.passes") + F.when(F.col("_m.tokens") > 0, taken).otherwise(0))
-    slow = marked.where(F.coalesce(ends, F.lit(False))).withColumn("copies", F.col("_w.passes") + F.when(F.sum("_m.tokens").over(inside) <= F.col("room"), 1).otherwise(0))
-    return fast.unionByName(slow)
+def _slim(docs: DataFrame) -> DataFrame:
+    """Ids, sources, tokens and hashes, without texts."""
+    return cut(measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")).drop("text"), "mix-rows")
 
 
 def report(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """For every row of docs: doc_id, source, n_tokens, weight_ppm, budget, block, copies."""
-    rows = cut(measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")).drop("text"), "mix-rows")
-    return _copies(plan(rows, target_entropy, max_repeats), ["doc_id"]).select(
-        "doc_id", "source", F.col("_m.tokens").alias("n_tokens"), F.col("_w.weight_ppm").alias("weight_ppm"), F.col("_w.budget").alias("budget"), F.col("_b").alias("block"), F.col("copies").cast("bigint").alias("copies")
+    rows = _slim(docs)
+    return counted(rows, limits(rows, target_entropy, max_repeats, cover=False)).select(
+        "doc_id", "source", F.col("_m.tokens").alias("n_tokens"), F.col("_l.weight_ppm").alias("weight_ppm"), F.col("_l.budget").alias("budget"), F.col("_place.block").alias("block"), "copies"
     )
 
 
 def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = 2.0, cover: bool = True) -> DataFrame:
-    """The mixture: each row of docs as often as its copies say, same columns."""
+    """The mixture: each row of docs as often as its copies say, same columns. Texts are
+    read twice, and never shuffled while sources are few."""
+    found = limits(_slim(docs), target_entropy, max_repeats, cover)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "source", "text")
-    rows = cut(measured(packed).drop("text", "source"), "mix-rows")
-    counted = _copies(plan(rows, target_entropy, max_repeats, cover), ["doc_id"]).where("copies > 0")
-    return counted.select("_doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")).select(*(F.col(f"_doc.{c}") for c in docs.columns))
+    emitted = counted(measured(packed).drop("text", "source"), found).where("copies > 0")
+    return emitted.select("_doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
