@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,24 @@ BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the batches that Python workers get by bytes, as texts may be long."""
+    """Bounds the batches that Python workers get by bytes, as texts may be long, and
+    sees to it that the workers can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SCRATCH:
+        return
+    _SCRATCH[sc.applicationId] = "shipped"
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.realpath(tempfile.mkdtemp(prefix="relspark-code-")) + "/relspark-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(archive)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -48,7 +48,7 @@ STRETCH = 8
 STRETCH_LEAST = 64
 LEAST_UPDATES = 60
 #: Tokens that a task holds before it counts or scores them.
-HOLD_TOKENS = 1 << 21
+HOLD_TOKENS = 3 << 19
 END = -BUCKETS  # the key of the end token, in bucket 0
 PER_CLASS = (VOCABULARY + BUCKETS) // CLASSES
 
@@ -266,7 +266,7 @@ def score(w: Weights, items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             a = int(np.searchsorted(-lengths, -t, "left"))
             if not a:
                 break
-            x = items[starts[:a] + t]
+            x = items[starts[:a] + t].astype(np.int64)
             states.append(h[:a].copy())
             targets.append(x)
             lanes.append(a)
@@ -295,7 +295,7 @@ class Lexicon:
         place = np.empty(len(frequency), np.int64)
         place[np.argsort(-frequency, kind="stable")] = np.arange(len(frequency))
         self.frequency = np.sort(frequency)[::-1]
-        self.bucket_item = place[VOCABULARY:]
+        self.bucket_item = place[VOCABULARY:].astype(np.int16)
         self.bucket_norm = np.log10(tail + 0.5 * (tail_words + 1))
         item = self.bucket_item[bucket]
         item[listed] = place[: len(listed)]
@@ -305,10 +305,13 @@ class Lexicon:
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items, and places in the table or -1."""
-        at = np.minimum(np.searchsorted(self.words, keys), max(len(self.words) - 1, 0))
+        at = np.minimum(np.searchsorted(self.words, keys), max(len(self.words) - 1, 0)).astype(np.int32)
         found = self.words[at] == keys if len(self.words) else np.zeros(len(keys), bool)
-        items = np.where(found, self.item[at] if len(self.words) else 0, self.bucket_item[keys & (BUCKETS - 1)])
-        return items.astype(np.int16), np.where(found, at, -1)
+        items = self.bucket_item[keys & (BUCKETS - 1)]
+        if len(self.words):
+            items[found] = self.item[at[found]]
+        at[~found] = -1
+        return items, at
 
 
 def lexicon(counts: DataFrame) -> tuple[Lexicon, int, int, DataFrame]:
@@ -407,7 +410,7 @@ def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         lengths = np.concatenate(sizes)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         key = np.concatenate(keys)
-        docs = np.arange(len(lengths)).repeat(lengths)
+        docs = np.arange(len(lengths), dtype=np.int32).repeat(lengths)
         item, at = lex.look_up(key)
         known = at >= 0
         base = np.bincount(docs[known], lex.log_count[at[known]], len(lengths)) if known.any() else np.zeros(len(lengths))
@@ -418,7 +421,7 @@ def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         within[tail] = -lex.bucket_norm[key[tail] & (BUCKETS - 1)]
         both = tail & known
         within[both] += lex.log_count[at[both]]
-        total = score(w, item.astype(np.int64), offsets) / np.log(10) + np.bincount(docs, within, len(lengths))
+        total = score(w, item, offsets) / np.log(10) + np.bincount(docs, within, len(lengths))
         rare, rare_doc = key[~known], docs[~known]
         order = np.lexsort((rare, rare_doc))
         rare, rare_doc = rare[order], rare_doc[order]

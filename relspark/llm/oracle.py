@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relspark.llm import mixing, quality
+from relspark.llm import mixing, quality, sharding
 
 OP1 = """
 WITH v AS (
@@ -137,6 +137,38 @@ SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id
 FROM g JOIN least_id ON doc_id = x
 """
 
+# CRC-32 goes by half bytes, as its table of 16 entries follows from the polynomial.
+OP8 = f"""
+WITH RECURSIVE half AS MATERIALIZED (
+  SELECT list(list_reduce(range(4), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT)) ORDER BY n) AS t FROM range(16) r(n)
+), raw AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
+), nibbles AS MATERIALIZED (
+  SELECT row_id, doc_id, strlen(text) AS bytes, list_transform(CASE WHEN h = '' THEN [] ELSE string_split(h, '') END, lambda x: instr('0123456789ABCDEF', x) - 1) AS l FROM raw
+), d AS MATERIALIZED (
+  SELECT row_id, doc_id, CAST(bytes + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(range(2 * bytes), lambda i: l[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]),
+      lambda c, x: xor(c >> 4, half.t[CAST(xor(c, x) & 15 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % {sharding.SLOTS} AS virtual_slot
+  FROM nibbles, half
+), t AS MATERIALIZED (
+  SELECT virtual_slot, CAST(sum(size) AS BIGINT) AS slot_bytes, count(*) AS slot_rows, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS k FROM d GROUP BY virtual_slot
+), filled(k, load, shard, virtual_slot, slot_rows) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(range({sharding.SHARDS}), lambda i: CAST(0 AS BIGINT)), CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT t.k, list_transform(load, lambda v, i: v + CASE WHEN i = list_position(load, list_min(load)) THEN t.slot_bytes ELSE 0 END),
+    CAST(list_position(load, list_min(load)) - 1 AS INTEGER), t.virtual_slot, t.slot_rows
+  FROM filled JOIN t ON t.k = filled.k + 1
+), starts AS (
+  SELECT virtual_slot, shard, coalesce(sum(slot_rows) OVER (PARTITION BY shard ORDER BY virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slot_start
+  FROM filled WHERE virtual_slot IS NOT NULL
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  CAST(slot_start + row_number() OVER (PARTITION BY d.virtual_slot ORDER BY doc_id, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, d.virtual_slot, CAST(1 AS INTEGER) AS map_version
+FROM d JOIN starts ON d.virtual_slot = starts.virtual_slot
+"""
+
 OP9 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -149,6 +181,30 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+OP10 = """
+WITH b AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(substring(h, CAST(2 * i + 1 AS BIGINT), 200)) AS piece FROM (SELECT doc_id, h, unnest(range(n_bytes - 99)) AS i FROM b WHERE n_bytes >= 100)
+), f AS (
+  SELECT doc_id, i, min({'d': doc_id, 'i': i}) OVER (PARTITION BY piece) AS first FROM w
+), r AS (
+  SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM f WHERE first <> {'d': doc_id, 'i': i}
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN before >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+), s AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM s
+  UNION ALL
+  SELECT doc_id, max(z), 1000000000 FROM s GROUP BY doc_id
+), kept AS (
+  SELECT gaps.doc_id, string_agg(substring(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY a) AS h FROM gaps JOIN b ON gaps.doc_id = b.doc_id GROUP BY gaps.doc_id
+), totals AS (SELECT doc_id, sum(z - a) AS n, count(*) AS c FROM s GROUP BY doc_id)
+SELECT b.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, b.h))) AS kept_sha256
+FROM b LEFT JOIN totals ON b.doc_id = totals.doc_id LEFT JOIN kept ON b.doc_id = kept.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1, "op2_temperature_mixing": OP2, "op3_robust_outliers": OP3, "op5_minhash_classes": OP5, "op9_arc_to_warc": OP9}
+    return {"op1_pivot_topk": OP1, "op2_temperature_mixing": OP2, "op3_robust_outliers": OP3, "op5_minhash_classes": OP5, "op8_virtual_slots": OP8, "op9_arc_to_warc": OP9, "op10_bwt_repeats": OP10}
