@@ -6,7 +6,7 @@ joins that send them back can be split by adaptive execution where a node is hot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from relspark.llm.common import cut
@@ -28,14 +28,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: u, v (long). Returns node, component: the smallest id reachable, a
     row for each node that isn't its own component's smallest."""
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    before = None
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)), "edges")
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1000003))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
-    else:
-        raise RuntimeError(f"no components after {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        seen = Observation()  # tells whether edges changed, without a job of its own
+        marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("a"), F.sum(F.xxhash64("v", "u") % 1000003).alias("b")]
+        now = cut(_small_star(_large_star(now)).observe(seen, *marks), "edges")
+        if seen.get == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = seen.get
+    raise RuntimeError(f"no components after {rounds} rounds")
+
+
+def relabelled(found: DataFrame, moved: DataFrame) -> DataFrame:
+    """Components found, after those named in moved (node, component: another one's
+    smallest id) have joined others."""
+    new = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return found.join(new, "component", "left").select("node", F.coalesce("_to", "component").alias("component")).union(moved.select("node", "component"))

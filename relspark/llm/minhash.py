@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
 from relspark.llm.common import cut, id_bitmap, maybe_in
-from relspark.llm.components import components
+from relspark.llm.components import components, relabelled
 
 COORDINATES = 64
 MATCHES = 30
@@ -226,25 +226,30 @@ def links_within(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray)
 
 
 def _confirm(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of each cell; rows come sorted by cell."""
+    """Which components the links of a cell join: each with the smallest id that it is
+    joined with. Rows come sorted by cell."""
 
-    def links(rows: list[tuple]) -> pa.RecordBatch:
-        reps = [r[0] for r in rows]
+    def joined(rows: list[tuple]) -> pa.RecordBatch:
         sets = [x for at in range(0, len(rows), 64) for x in shingle_sets([r[3] for r in rows[at : at + 64]], width)]
-        found = links_within(sets, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in found], pa.int64()), pa.array([reps[j] for _, j in found], pa.int64())], ["u", "v"])
+        labels = [r[1] for r in rows]
+        root = {x: x for x in labels}
+        for i, j in links_within(sets, np.array(labels), np.array([r[2] for r in rows])):
+            a, b = sorted((root[labels[i]], root[labels[j]]))
+            root = {x: a if r == b else r for x, r in root.items()}
+        moved = [(x, r) for x, r in root.items() if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in moved], pa.int64()), pa.array([r for _, r in moved], pa.int64())], ["node", "component"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
             for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "rep", "component", "side", "text")), strict=True):
                 if rows and cell != key:
-                    yield links(rows)
+                    yield joined(rows)
                     rows = []
                 key = cell
                 rows.append(row)
         if rows:
-            yield links(rows)
+            yield joined(rows)
 
     return run
 
@@ -270,17 +275,17 @@ def confirmed(texts: DataFrame, sizes: DataFrame, clusters: DataFrame, width: in
     held = cut(maybe_in(texts, bitmap).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "n", "cluster", "chunks", "chunk", "text"), "clustered")
 
     def linked(rows: DataFrame) -> DataFrame:
-        return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_confirm(width), "u long, v long"), "links")
+        return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_confirm(width), "node long, component long"), "links")
 
-    alone = held.select(F.xxhash64("cluster", "chunk").alias("cell"), "rep", F.col("rep").alias("component"), F.lit(-1).alias("side"), "text")
-    edges = linked(alone)
-    found = components(edges)
-    if held.where("chunks > 1").isEmpty():
+    # A set is in one chunk, so what a cell finds needs no merging with others.
+    found = linked(held.select(F.xxhash64("cluster", "chunk").alias("cell"), "rep", F.col("rep").alias("component"), F.lit(-1).alias("side"), "text"))
+    large_ones = held.where("chunks > 1")
+    if large_ones.isEmpty():
         return found
 
     def apart() -> DataFrame:
         """Members of large clusters that have more than one component left."""
-        large = held.where("chunks > 1").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        large = large_ones.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_ones = large.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cluster")
         return large.join(open_ones, "cluster", "left_semi")
 
@@ -288,7 +293,7 @@ def confirmed(texts: DataFrame, sizes: DataFrame, clusters: DataFrame, width: in
     heads = apart().where("rep = component")
     counts = heads.groupBy("cluster").agg(_parts().alias("parts"))
     dealt = heads.join(counts, "cluster").select(F.xxhash64("cluster", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("cell"), "rep", "component", F.lit(-1).alias("side"), "text")
-    found = components(_edges(found).union(linked(dealt)))
+    found = cut(relabelled(found, linked(dealt)), "confirmed")
 
     # Sets outside their cluster's largest component visit all its chunks, in groups of
     # bounded size; the largest component's sets needn't meet each other.
@@ -308,7 +313,8 @@ def confirmed(texts: DataFrame, sizes: DataFrame, clusters: DataFrame, width: in
     )
     hosts = rest.join(groups, "cluster").select("cluster", F.col("chunk").alias("at"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("visit"), "rep", "component", F.lit(0).alias("side"), "text")
     last = linked(visitors.union(hosts).select(F.xxhash64("cluster", "at", "visit").alias("cell"), "rep", "component", "side", "text"))
-    return found if last.isEmpty() else components(_edges(found).union(last))
+    # Here a component may be in several cells.
+    return found if last.isEmpty() else relabelled(found, components(_edges(last)))
 
 
 def classes(docs: DataFrame, width: int = 2) -> DataFrame:
