@@ -3,7 +3,7 @@
 Statistics of the whole text are binned by quantiles; trees are grown level by level
 from histograms of gradients, and flattened into arrays that numpy walks for a batch
 of documents at once. Trees are fitted on the driver from at most TRAIN_ROWS labelled
-documents, those with the smallest hash of their id; the flattened model (a few
+documents, chosen by the hash of their id; the flattened model (a few
 kilobytes) goes to the executors.
 
 Only statistics of the text are inputs: never id, language, source or label. Nulls: a
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
-from relspark.llm.common import cut, in_class
+from relspark.llm.common import cut, hashed_share, in_class
 
 TRAIN_ROWS = 20_000
 TREES = 80
@@ -191,6 +191,8 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_measure, "doc_id long, x binary"), "statistics").withColumn("held_out", in_class(F.col("doc_id"), 4, 2))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
-    taught = rows.where("not held_out and doc_id is not null").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("x", "y").toArrow()
+    labelled = rows.where("not held_out and doc_id is not null").join(known, "doc_id").select("doc_id", "x", "y")
+    share = train_rows / max(1, known.where(~in_class(F.col("doc_id"), 4, 2)).count())
+    taught = labelled.where(hashed_share(F.col("doc_id"), share)).select("doc_id", "x", "y").toArrow().sort_by("doc_id").slice(0, train_rows)
     model = fit(_matrix(taught.column("x")), taught.column("y").to_numpy().astype(float)) if taught.num_rows else fit(np.zeros((0, len(NAMES))), np.zeros(0))
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")

@@ -96,6 +96,11 @@ def in_class(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def hashed_share(key: Column, share: float) -> Column:
+    """Whether a row is among the given share of all, by the hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < max(1, int(min(1.0, share) * (1 << 30)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

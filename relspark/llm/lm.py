@@ -7,7 +7,7 @@ that of its class times that within the class. A word in a bucket is then as lik
 its count among the bucket's words (plus a half), so every text has a probability.
 
 Training: truncated backpropagation through WINDOW steps, the state carried from window
-to window. The model is started by one task on at most START_DOCUMENTS documents; then
+to window. The model is started by one task on about START_DOCUMENTS documents; then
 each input partition goes on from there over its training documents, taking a
 contiguous stretch of 1 / STRETCH of each (STRETCH_LEAST tokens at least) at a place
 given by its id, and the partitions' weights are averaged by tokens. All documents take
@@ -465,7 +465,8 @@ def log_probabilities(docs: DataFrame) -> DataFrame:
 
     start = fresh_weights(lex.frequency)
     if tokens:
-        few = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCUMENTS).repartition(1)
+        documents = counts.where(F.col("word") == END).first().c
+        few = taught.sample(False, min(1.0, START_DOCUMENTS / documents), 1).repartition(1)
         held = sc.broadcast((lex, start))
         start = averaged(cut(few.mapInArrow(_train(held, 0.01, 8 * LEAST_UPDATES), SUMS), "weights"), start)
         held = sc.broadcast((lex, start))

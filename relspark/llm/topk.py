@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import cut, shuffle_width
+from relspark.llm.common import cut, hashed_share, shuffle_width
 
 PIVOTS = 48
 BLOCK_ROWS = 1024
@@ -195,7 +195,8 @@ def search(vectors: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFr
 
     vectors: vec_id long, v array of long. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    sample = vectors.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    few = vectors.where(hashed_share(F.col("vec_id"), 8 * pivots / max(1, vectors.count())))
+    sample = few.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     dim = max(({len(r.v) for r in sample}), key=lambda d: (sum(len(r.v) == d for r in sample), d), default=0)
     chosen = [r.v for r in sample if len(r.v) == dim]
     points = np.array(chosen, float).reshape(len(chosen), dim)
