@@ -420,11 +420,14 @@ def repeated_spans(docs: DataFrame, hot: int = HOT_RUNS) -> DataFrame:
     frequent = np.sort(often.select("anchor").toArrow().column("anchor").to_numpy()).astype(U64)  # SAMPLE_DOCUMENTS bounds it
     dealt = texts.mapInArrow(_deal(buckets, frequent), "bucket int, runs binary")
     found_runs = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(buckets, hot), REPEATS)
-    repeats = _classified(cut(found_runs, "repeats"), hot) if len(frequent) else cut(found_runs, "repeats")
+    repeats = cut(found_runs, "repeats")
     spans = repeats.where(F.col("kind") == SPAN).select("doc_id", "start", "n")
+    firsts = repeats.where(F.col("kind") != SPAN)
+    if len(frequent):
+        firsts = cut(_classified(firsts, hot), "runs")
 
     def wanted(kind: int) -> DataFrame:
-        asked = repeats.where(F.col("kind") == kind)
+        asked = firsts.where(F.col("kind") == kind)
         per_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("wanted"))
         some = maybe_in(texts, id_bitmap(asked.select(F.col("doc_id").alias("id"))))
         return some.join(per_doc, "doc_id").select("doc_id", "text", "wanted")
@@ -432,7 +435,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT_RUNS) -> DataFrame:
     snippets = wanted(RUN).mapInArrow(_cut_runs, "anchor long, doc_id long, start long, snippet binary").distinct()
     found = snippets.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expand, "doc_id long, start long, n int")
     spans = spans.union(found)
-    if not repeats.where(F.col("kind") == HOT).isEmpty():
+    if not firsts.where(F.col("kind") == HOT).isEmpty():
         windows = cut(wanted(HOT).mapInArrow(_cut_windows, "window binary, doc_id long, start long"), "hot-windows")
         first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"))
         later = windows.join(first, "window").where(F.struct("doc_id", "start") > F.col("first"))
