@@ -359,20 +359,20 @@ def _train(shared, rate: float, least_updates: int) -> Callable[[Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, start = shared.value
         w = {n: v.copy() for n, v in start.items()}
-        optimiser, held, size, tokens, updates = Adam(w, rate), [], 0, 0, 0
+        optimiser, kept, held, size, tokens, updates = Adam(w, rate), [], [], 0, 0, 0
         for s in _stretches(lex, batches):
             held.append(s)
             size += len(s)
+            tokens += len(s)  # once, however often it is trained on
             if size >= HOLD_TOKENS // 4:
-                u, n = train(w, held, optimiser)
-                updates, tokens, held, size = updates + u, tokens + n, [], 0
-        while held:
-            u, n = train(w, held, optimiser)
-            updates, tokens = updates + u, tokens + n
-            if updates >= least_updates:
-                break
+                updates += train(w, held, optimiser)[0]
+                kept, held, size = held, [], 0
+        if held:
+            updates += train(w, held, optimiser)[0]
+        while tokens and updates < least_updates:
+            updates += train(w, kept + held, optimiser)[0]
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([float(size or tokens)]), pa.array([(_flat(w).astype(np.float64) * (size or tokens)).tobytes()], pa.binary())], ["tokens", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([(_flat(w).astype(np.float64) * tokens).tobytes()], pa.binary())], ["tokens", "weights"])
 
     return run
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from relspark.llm import lm
 
@@ -113,3 +114,29 @@ def test_awkward_rows_and_no_training(awkward, documents):
     (only,) = lm.log_probabilities(documents([(alone, "never seen")])).collect()
     assert (only.n_known, only.train_tokens) == (0, 0)
     assert math.isfinite(only.score) and abs(only.base_score) < 1e-9  # 0.5 / 0.5 of nothing seen
+
+
+class Shared:
+    """Stands for a broadcast: a lexicon of the rows' words, and fresh weights."""
+
+    def __init__(self, rows):
+        words, n = np.unique(lm.keys_of([t for _, t in rows])[0], return_counts=True)
+        bucket = words & (lm.BUCKETS - 1)
+        lex = lm.Lexicon(words, n, np.bincount(bucket, n, lm.BUCKETS).astype(np.int64), np.bincount(bucket, minlength=lm.BUCKETS))
+        self.value = (lex, lm.fresh_weights(lex.frequency))
+
+
+def batches(rows, size=50):
+    ids, texts = zip(*rows, strict=True)
+    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+    return iter(table.to_batches(max_chunksize=size))
+
+
+def test_partitions_weigh_as_many_tokens_as_they_hold(monkeypatch):
+    """Tokens count over all flushes, and once, however many passes there are."""
+    rows = [(i, " ".join(["word"] * 39)) for i in range(103)]
+    shared = Shared(rows)
+    for hold, least in ((400, 1), (1 << 20, 1), (400, 500), (1 << 20, 20)):
+        monkeypatch.setattr(lm, "HOLD_TOKENS", hold)
+        (out,) = lm._train(shared, 0.003, least)(batches(rows))
+        assert out.column("tokens").to_pylist() == [103 * 40]
