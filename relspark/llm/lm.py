@@ -7,11 +7,10 @@ that of its class times that within the class. A word in a bucket is then as lik
 its count among the bucket's words (plus a half), so every text has a probability.
 
 Training: truncated backpropagation through WINDOW steps, the state carried from window
-to window. The model is started by one task on about START_DOCUMENTS documents; then
-each input partition goes on from there over its training documents, taking a
-contiguous stretch of 1 / STRETCH of each (STRETCH_LEAST tokens at least) at a place
-given by its id, and the partitions' weights are averaged by tokens. All documents take
-part at any size.
+to window from a document's first token to its end. Documents follow one another in
+lanes. The model is started by one task on about START_DOCUMENTS documents; then each
+input partition goes on from there over every token of all its training documents, and
+the partitions' weights are averaged by tokens.
 
 Scoring: whole documents, in lanes; the state is carried across windows from a
 document's first token to its end. Words beyond the TABLE_WORDS most frequent are
@@ -25,6 +24,7 @@ columns are ignored. Words are told apart by 58-bit hashes.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,10 +44,8 @@ WINDOW = 32
 LANES = 256
 TABLE_WORDS = 1 << 18
 START_DOCUMENTS = 1500
-STRETCH = 8
-STRETCH_LEAST = 64
 LEAST_UPDATES = 60
-#: Tokens that a task holds before it counts or scores them.
+#: Tokens that a task holds before it counts, trains on or scores them.
 HOLD_TOKENS = 3 << 19
 END = -BUCKETS  # the key of the end token, in bucket 0
 PER_CLASS = (VOCABULARY + BUCKETS) // CLASSES
@@ -110,7 +108,12 @@ def fresh_weights(frequency: np.ndarray) -> Weights:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place, as (1 + tanh(x / 2)) / 2, which can't overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 def step(w: Weights, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -120,8 +123,13 @@ def step(w: Weights, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     gates = _sigmoid(g[:, : 2 * k] + a[:, : 2 * k])
     r, z = gates[:, :k], gates[:, k:]
     u = a[:, 2 * k :] + w["gate"]
-    n = np.tanh(g[:, 2 * k :] + r * u)
-    return n + z * (h - n), (h, r, z, n, u)
+    n = r * u
+    n += g[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (h, r, z, n, u)
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +159,17 @@ def log_likelihood(w: Weights, h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(w: Weights, h0: np.ndarray, steps: list[np.ndarray]) -> tuple[Weights, np.ndarray, float]:
+def gradients(w: Weights, h0: np.ndarray, steps: list[np.ndarray], begins: list[np.ndarray] | None = None) -> tuple[Weights, np.ndarray, float]:
     """Gradients of the mean negative log-likelihood of a window, the state after it,
-    and the sum of ln p. steps: the items of each step, of ever fewer lanes."""
+    and the sum of ln p. steps: the items of each step, of ever fewer lanes; begins: the
+    lanes whose document begins at each step, with a state of zeros."""
     k, h = HIDDEN, h0
     saved, before = [], []
-    for x in steps:
+    for t, x in enumerate(steps):
         a = len(x)
+        if begins is not None and len(begins[t]):
+            h = h.copy()
+            h[begins[t]] = 0
         before.append(h[:a])
         new, kept = step(w, h[:a], x)
         saved.append(kept)
@@ -177,7 +189,7 @@ def gradients(w: Weights, h0: np.ndarray, steps: list[np.ndarray]) -> tuple[Weig
     out["to_class"] += states.T @ p
     out["class_bias"] += p.sum(0)
     d_states = p @ w["to_class"].T
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.int16), kind="stable")
     bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
     for j in np.flatnonzero(np.diff(bounds)):
         mine = order[bounds[j] : bounds[j + 1]]
@@ -195,20 +207,29 @@ def gradients(w: Weights, h0: np.ndarray, steps: list[np.ndarray]) -> tuple[Weig
     d_gates = np.empty((len(items), 3 * k), np.float32)
     d_lin = np.empty((len(items), 3 * k), np.float32)
     d_h = np.zeros_like(h0)
+    # What doesn't depend on later steps, of all steps at once.
+    r, z, n, u = (np.concatenate([kept[i] for kept in saved]) for i in range(1, 5))
+    local = np.concatenate([u * r * (1 - r), (states - n) * z * (1 - z), (1 - z) * (1 - n * n)], 1)
+    back = np.ascontiguousarray(w["state"].T)
     for t in range(len(steps) - 1, -1, -1):
         a = len(steps[t])
         at = slice(ends[t] - a, ends[t])
-        h_in, r, z, n, u = saved[t]
+        _, r, z, _, _ = saved[t]
         d = d_h[:a]
-        d_n = d * (1 - z) * (1 - n * n)
-        d_r = d_n * u * r * (1 - r)
-        d_z = d * (h_in - n) * z * (1 - z)
-        d_gates[at, :k], d_gates[at, k : 2 * k], d_gates[at, 2 * k :] = d_r, d_z, d_n
-        d_lin[at, :k], d_lin[at, k : 2 * k], d_lin[at, 2 * k :] = d_r, d_z, d_n * r
-        d_h[:a] = d * z + d_lin[at] @ w["state"].T + d_states[at]
+        slope = local[at]
+        d_z = d * slope[:, k : 2 * k]
+        d_n = d * slope[:, 2 * k :]
+        d_gates[at, :k], d_gates[at, k : 2 * k], d_gates[at, 2 * k :] = d_n * slope[:, :k], d_z, d_n
+        np.multiply(d_n, r, out=d_lin[at, 2 * k :])
+        d_lin[at, : 2 * k] = d_gates[at, : 2 * k]
+        d *= z
+        d += d_lin[at] @ back
+        d += d_states[at]
+        if begins is not None and len(begins[t]):
+            d_h[begins[t]] = 0
     out["state"] += states.T @ d_lin
     out["gate"] += d_lin[:, 2 * k :].sum(0)
-    order = np.argsort(items, kind="stable")
+    order = np.argsort(items.astype(np.int16), kind="stable")
     first = np.flatnonzero(np.r_[True, np.diff(items[order]) != 0])
     out["input"][items[order[first]]] = np.add.reduceat(d_gates[order], first)
     return out, h, loss
@@ -233,22 +254,45 @@ class Adam:
 
 
 def train(w: Weights, sequences: list[np.ndarray], optimiser: Adam) -> tuple[int, int]:
-    """One pass over the sequences; returns updates and tokens."""
+    """One pass over the sequences, all whole; returns updates and tokens. Sequences are
+    dealt to lanes, the longest first and each to the shortest lane, and follow one
+    another there in random order."""
     updates = tokens = 0
-    ranked = sorted(sequences, key=len, reverse=True)
-    groups = [ranked[i : i + LANES] for i in range(0, len(ranked), LANES)]
-    for g in np.random.default_rng(len(ranked)).permutation(len(groups)):
-        lanes = groups[g]
-        lengths = np.array([len(s) for s in lanes])
-        items, starts = np.concatenate(lanes), np.cumsum(lengths) - lengths
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for t in range(0, int(lengths[0]), WINDOW):
-            active = [int(np.searchsorted(-lengths, -i, "left")) for i in range(t, min(t + WINDOW, int(lengths[0])))]
-            steps = [items[starts[:a] + t + i] for i, a in enumerate(active)]
-            grads, h, _ = gradients(w, h[: active[0]], steps)
-            optimiser.update(grads)
-            updates += 1
-            tokens += sum(active)
+    rng = np.random.default_rng(len(sequences))
+    room = [(0, i) for i in range(min(LANES, len(sequences)))]
+    dealt: list[list[np.ndarray]] = [[] for _ in room]
+    for s in sorted(sequences, key=len, reverse=True):
+        n, i = room[0]
+        dealt[i].append(s)
+        heapq.heapreplace(room, (n + len(s), i))
+    lanes = [[lane[i] for i in rng.permutation(len(lane))] for lane in sorted(dealt, key=lambda lane: -sum(map(len, lane)))]
+    lengths = np.array([sum(map(len, lane)) for lane in lanes], np.int64)
+    items, starts = np.concatenate([s for lane in lanes for s in lane] or [np.zeros(0, np.int16)]), np.cumsum(lengths) - lengths
+    begin = np.zeros(len(items), bool)
+    begin[np.cumsum([0, *(len(s) for lane in lanes for s in lane)])[:-1]] = True
+    longest = int(lengths[0]) if len(lengths) else 0
+    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    full = sum(int(np.searchsorted(-lengths, -i, "left")) for i in range(min(WINDOW, longest)))
+    waiting, held = None, 0
+    for t in range(0, longest, WINDOW):
+        active = [int(np.searchsorted(-lengths, -i, "left")) for i in range(t, min(t + WINDOW, longest))]
+        at = [starts[:a] + t + i for i, a in enumerate(active)]
+        grads, h, _ = gradients(w, h[: active[0]], [items[x] for x in at], [np.flatnonzero(begin[x]) for x in at])
+        # Where few lanes are left, windows share an update: each token counts alike.
+        n = sum(active)
+        for g in grads.values():
+            g *= g.dtype.type(n)
+        if waiting is None:
+            waiting = grads
+        else:
+            for name, g in grads.items():
+                waiting[name] += g
+        held, tokens = held + n, tokens + n
+        if 2 * held >= full or t + WINDOW >= longest:
+            for g in waiting.values():
+                g *= g.dtype.type(1 / held)
+            optimiser.update(waiting)
+            updates, waiting, held = updates + 1, None, 0
     return updates, tokens
 
 
@@ -333,14 +377,11 @@ def lexicon(counts: DataFrame) -> tuple[Lexicon, int, int, DataFrame]:
     return table, int(c.sum()), int(v.sum()), counts.where(level < least)
 
 
-def _stretches(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _documents(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The items of each document, from its first to its last."""
     for batch in batches:
         keys, offsets = keys_of(batch.column("text").to_pylist())
-        items = lex.look_up(keys)[0]
-        for key, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            n = min(b - a, max(STRETCH_LEAST, (b - a) // STRETCH))
-            begin = a + int(tk.mix64(np.array([key or 0]).view(np.uint64))[0] % np.uint64(b - a - n + 1))
-            yield items[begin : begin + n]
+        yield from np.split(lex.look_up(keys)[0], offsets[1:-1])
 
 
 def _flat(w: Weights) -> np.ndarray:
@@ -360,11 +401,11 @@ def _train(shared, rate: float, least_updates: int) -> Callable[[Iterator[pa.Rec
         lex, start = shared.value
         w = {n: v.copy() for n, v in start.items()}
         optimiser, kept, held, size, tokens, updates = Adam(w, rate), [], [], 0, 0, 0
-        for s in _stretches(lex, batches):
+        for s in _documents(lex, batches):
             held.append(s)
             size += len(s)
             tokens += len(s)  # once, however often it is trained on
-            if size >= HOLD_TOKENS // 4:
+            if size >= 4 * HOLD_TOKENS:  # items take a quarter of a key's bytes
                 updates += train(w, held, optimiser)[0]
                 kept, held, size = held, [], 0
         if held:

@@ -140,3 +140,43 @@ def test_partitions_weigh_as_many_tokens_as_they_hold(monkeypatch):
         monkeypatch.setattr(lm, "HOLD_TOKENS", hold)
         (out,) = lm._train(shared, 0.003, least)(batches(rows))
         assert out.column("tokens").to_pylist() == [103 * 40]
+
+
+def test_training_takes_every_token_of_every_document(monkeypatch):
+    """Each document goes to training whole, in one piece and from its first token."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(n))) for i, n in enumerate([3000, 700, 1, 0, *[90] * 60])]
+    shared = Shared(rows)
+    taken = []
+    original = lm.train
+    monkeypatch.setattr(lm, "train", lambda w, sequences, o: (taken.extend(sequences), original(w, sequences, o))[1])
+    list(lm._train(shared, 0.003, 1)(batches(rows)))
+    whole = [shared.value[0].look_up(lm.keys_of([t])[0])[0].tolist() for _, t in rows]
+    assert sorted(s.tolist() for s in taken) == sorted(whole)
+
+
+def test_lanes_train_on_whole_documents_with_states_of_their_own(monkeypatch):
+    """Documents that share lanes give the likelihood that each gives alone, and
+    gradients that don't reach from one into another."""
+    monkeypatch.setattr(lm, "LANES", 3)
+    rng = np.random.default_rng(6)
+    w = fresh()
+    docs = [rng.integers(0, 1024, n) for n in (1, 40, 200, 33, 32, 5, 64, 7)]
+
+    class Still:
+        def update(self, g):
+            pass
+
+    total = []
+    original = lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda *a: (out := original(*a), total.append(out[2]))[0])
+    assert lm.train(w, docs, Still())[1] == sum(map(len, docs))
+    alone = lm.score(w, np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
+    assert abs(sum(total) - alone.sum()) < 1e-4 * abs(alone.sum())
+
+    a, b = docs[7], docs[5]
+    none = np.zeros(0, np.int64)
+    joined = original(w, np.zeros((1, lm.HIDDEN)), [x[None] for x in np.concatenate([a, b])], [np.zeros(1, np.int64) if i in (0, len(a)) else none for i in range(len(a) + len(b))])[0]
+    apart = [original(w, np.zeros((1, lm.HIDDEN)), [x[None] for x in d])[0] for d in (a, b)]
+    for name in w:
+        assert np.allclose(joined[name] * (len(a) + len(b)), apart[0][name] * len(a) + apart[1][name] * len(b), atol=1e-8), name
