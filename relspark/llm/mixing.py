@@ -58,7 +58,8 @@ def weights(totals: DataFrame, target_entropy: float, max_repeats: float, cover:
     """source, rows, tokens, exponent (in 1 / GRID), weight and budget (tokens).
 
     totals: source, rows, tokens. With cover, the budget is scaled until every source
-    is passed once at least; else it is the number of tokens that there are."""
+    is passed once at least, and made of weights that aren't rounded; else it is the
+    weight in millionths of the number of tokens that there are."""
     gathered = totals.agg(F.array_sort(F.collect_list(F.struct("source", "rows", "tokens"))).alias("s"), F.sum("tokens").alias("all"))
     p = lambda x: x["tokens"].cast("double") / F.col("all")
     live = F.filter("s", lambda x: x["tokens"] > 0)
@@ -96,21 +97,24 @@ def weights(totals: DataFrame, target_entropy: float, max_repeats: float, cover:
     held = flat.withColumn("e", F.when(repeats(F.col("e")) <= allowed, F.col("e")).otherwise(bisect(lambda m: repeats(m) > allowed, F.col("e"), one)["high"]))
     # Weights to a millionth, so that engines agree on them; budgets are whole tokens.
     z = total(powered(F.col("e")))
+    weight = F.pow(p(F.col("x")), F.col("exponent") / F.lit(float(GRID))) / F.col("z")
     out = held.select(F.col("e").alias("exponent"), F.col("all"), z.alias("z"), F.explode("s").alias("x")).select(
         "x.source",
         "x.rows",
         "x.tokens",
         "exponent",
-        F.when(F.col("x.tokens") > 0, F.round(F.pow(p(F.col("x")), F.col("exponent") / F.lit(float(GRID))) / F.col("z") * PPM)).otherwise(0).cast("bigint").alias("weight_ppm"),
+        F.when(F.col("x.tokens") > 0, F.round(weight * PPM)).otherwise(0).cast("bigint").alias("weight_ppm"),
+        F.when(F.col("x.tokens") > 0, weight / F.col("x.tokens")).alias("rate"),
         "all",
     )
     if not cover:
-        return out.withColumn("budget", F.floor(F.col("weight_ppm") * F.col("all") / PPM).cast("bigint"))
-    # Passes relative to the source that is passed least, which is passed once.
+        return out.drop("rate").withColumn("budget", F.floor(F.col("weight_ppm") * F.col("all") / PPM).cast("bigint"))
+    # Passes relative to the source that is passed least, which is passed once. The
+    # bisection allows for rounding; whole tokens beyond the limit it must not give.
     everything = Window.partitionBy(F.lit(0))  # a row per source
-    rate = F.when(F.col("tokens") > 0, F.col("weight_ppm") / F.col("tokens"))
-    scaled = out.withColumn("least", F.min(rate).over(everything))
-    return scaled.withColumn("budget", F.greatest(F.col("tokens"), F.floor(F.coalesce(rate / F.col("least"), F.lit(1.0)) * F.col("tokens") + 1e-6)).cast("bigint"))
+    scaled = out.withColumn("least", F.min("rate").over(everything))
+    passes = F.least(F.coalesce(F.col("rate") / F.col("least"), F.lit(1.0)), F.lit(float(max_repeats)))
+    return scaled.withColumn("budget", F.greatest(F.col("tokens"), F.floor(passes * F.col("tokens") + 1e-6)).cast("bigint"))
 
 
 def limits(rows: DataFrame, target_entropy: float, max_repeats: float, cover: bool) -> DataFrame:

@@ -89,3 +89,19 @@ def test_no_python_in_the_plans(documents):
     for df in (mixing.report(documents(corpus(4, {"a": 50}))), mixing.mix(documents(corpus(4, {"a": 50})))):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("tiny", [500, 40])
+def test_covering_budgets_of_a_tiny_source_beside_huge_ones(spark, tiny):
+    """A weight below a millionth still gives passes, within the limit."""
+    sizes = {"=a": 1_500_000_000, "=b": 1_600_000_000, "=c": 1_700_000_000, "=tiny": tiny, "=": 0}
+    table = spark.createDataFrame([(s, max(n // 100, 1), n) for s, n in sizes.items()], "source string, rows long, tokens long")
+    found = {r.source: r for r in mixing.weights(table, 0.97, 2.0, cover=True).collect()}
+    assert found["=tiny"].weight_ppm == 0
+    n = sum(sizes.values())
+    power = {s: (v / n) ** (found[s].exponent / mixing.GRID) for s, v in sizes.items() if v}
+    least = min(power[s] / sizes[s] for s in power)
+    for s, v in sizes.items():
+        passes = min(power[s] / v / least, 2.0) if v else 1.0
+        assert found[s].budget == pytest.approx(passes * v, rel=1e-9, abs=1)
+        assert v <= found[s].budget <= 2 * v
