@@ -9,7 +9,7 @@ by that key, runs of vectors are blocks, each an annulus around a pivot. Search:
 a query visits annuli by growing lower bound |d(q', p) - d(x', p)| (triangle
 inequality) and stops when no unvisited annulus can reach its k-th score.
 
-Pivots are at most PIVOTS rows, the only sample; every row is indexed and the
+Pivots are at most PIVOTS rows, of an id each, the only sample; every row is indexed and the
 result is exact. Blocks and chunks of queries meet in cells of bounded size, so
 memory doesn't grow with the table and no group goes to one task. Pivots are
 rows themselves: their scores bound each query's k-th score from the start.
@@ -120,9 +120,10 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["vectors"], "<i8").reshape(len(ids), row["dim"])
 
 
-def search_cell(blocks: list[dict], queries: tuple[np.ndarray, np.ndarray], pivots: np.ndarray, largest: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_cell(blocks: list[dict], queries: tuple[np.ndarray, np.ndarray], pivots: np.ndarray, largest: float, k: int, pivot_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (query_id, vec_id, score) of each query among the blocks, found
-    by expanding annuli; fewer where pivots' scores already rule rows out."""
+    by expanding annuli; fewer where pivots' scores already rule rows out. Without
+    pivot_ids, pivots are of ids that differ."""
     query_ids, q = queries
     exact = largest < float(1 << 53)  # no partial sum then leaves the exact range of doubles
     kind = np.float64 if exact else np.int64
@@ -132,7 +133,11 @@ def search_cell(blocks: list[dict], queries: tuple[np.ndarray, np.ndarray], pivo
     bounds = np.full((len(q), len(work)), -np.inf)  # upper bounds of scores
     if q.shape[1] and q.shape[1] == pivots.shape[1]:
         reach = query_distances(qf, pivots, largest)
-        if len(pivots) > k:  # the query itself may be one of them
+        if pivot_ids is not None and len(pivots) >= k:
+            pivot_score = qf @ pivots.T
+            pivot_score[query_ids[:, None] == pivot_ids[None]] = -np.inf  # no answers of its own
+            floor_score = np.sort(pivot_score, 1)[:, -k]
+        elif len(pivots) > k:  # the query itself may be one of them
             floor_score = np.sort(qf @ pivots.T, 1)[:, -k - 1]
         for j, (b, _, _) in enumerate(work):
             gap = np.maximum(np.maximum(b["low"] - reach[:, b["pivot"]], reach[:, b["pivot"]] - b["high"]), 0)
@@ -176,14 +181,14 @@ def search_cell(blocks: list[dict], queries: tuple[np.ndarray, np.ndarray], pivo
     return query_ids[row], best_id[row, col], best_score[row, col].astype(np.int64)
 
 
-def _cells(pivots: np.ndarray, largest: float, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _cells(pivots: np.ndarray, pivot_ids: np.ndarray, largest: float, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(blocks: pa.Table, chunks: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         have = blocks.to_pylist()
         for chunk in chunks.to_pylist():
             same = [b for b in have if b["dim"] == chunk["dim"]]
             if same:
-                found.append(search_cell(same, _unpack(chunk), pivots, largest, k))
+                found.append(search_cell(same, _unpack(chunk), pivots, largest, k, pivot_ids))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
@@ -196,9 +201,10 @@ def search(vectors: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFr
     vectors: vec_id long, v array of long. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     few = vectors.where(hashed_share(F.col("vec_id"), 8 * pivots / max(1, vectors.count())))
-    sample = few.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    # One row of an id, so that pivots other than a query are as many of its candidates.
+    sample = few.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     dim = max(({len(r.v) for r in sample}), key=lambda d: (sum(len(r.v) == d for r in sample), d), default=0)
-    chosen = [r.v for r in sample if len(r.v) == dim]
+    chosen, ids = [r.v for r in sample if len(r.v) == dim], np.array([r.vec_id for r in sample if len(r.v) == dim], np.int64)
     points = np.array(chosen, float).reshape(len(chosen), dim)
     largest = float(vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0)
     index = cut(vectors.mapInArrow(_index(points, largest), INDEXED), "pivot-index")
@@ -217,6 +223,6 @@ def search(vectors: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFr
     # Each block meets each chunk of queries, in cells of bounded size.
     left = blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     right = chunks.withColumn("h", F.pmod(F.xxhash64("ids"), F.lit(down)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    partial = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_cells(points, largest, k), "query_id long, vec_id long, score long")
+    partial = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_cells(points, ids, largest, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -84,3 +84,11 @@ def test_far_annuli_are_not_visited(monkeypatch):
         s = vectors @ vectors[i]
         s[i] = -(1 << 60)
         assert sorted(scores[q == i], reverse=True) == sorted(s, reverse=True)[:5]
+
+
+def test_repeated_query_rows_are_no_bound(spark):
+    """Rows of the query's own id, pivots all, don't stand for candidates."""
+    rows = [(50, [10.0, 0.0])] * 3 + [(i, [10.0 - i, 0.0]) for i in range(1, 8)]
+    assert found(spark, rows) == brute(rows)
+    many = [(0, [10.0, 0.0])] * 60 + [(i, [10.0 - i / 8, 0.0]) for i in range(1, 48)]
+    assert found(spark, many) == brute(many)
