@@ -5,7 +5,8 @@ as Parquet in the shared folder and read again, so a lost executor never costs m
 than the stage that is running.
 
 1. quality: documents that the base rules or the robust outlier test reject go.
-2. near_duplicates: one document of each near-duplicate class stays.
+2. near_duplicates: one document of each near-duplicate class, by shingles of five
+   words, stays.
 3. repeats: passages of 100 bytes and more that occurred before are cut out.
 4. mixing: sources are mixed by temperature; every document is emitted at least once,
    small sources up to twice.

@@ -346,8 +346,9 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, width: int = 2) -> DataFrame:
-    """One row of docs for each class: the smallest id's. Same columns. Rows without an
+def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One row of docs for each class: the smallest id's. Same columns. Shingles are of
+    five words, which fewer changed words tell apart than the two of `classes`. Rows without an
     id are linked with nothing and stay. Of repeated rows, one stays. Only documents that
     go, or whose id is repeated, are shuffled with their texts."""
     found = cut(classes(docs, width), "classes")

@@ -28,7 +28,7 @@ def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(table(spark, sf_dir, "documents"))
+    return minhash.classes(table(spark, sf_dir, "documents"), width=2)
 
 
 def op6_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
