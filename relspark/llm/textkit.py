@@ -16,8 +16,6 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -52,8 +50,8 @@ def join_texts(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=offsets[1:])
-    data = np.frombuffer(b"\n".join(raw) + b"\n" if raw else b"", np.uint8)
-    return (_LOWER[data] if lower else data), offsets
+    joined = b"\n".join(raw) + b"\n" if raw else b""
+    return np.frombuffer(joined.lower() if lower else joined, np.uint8), offsets  # bytes.lower: A-Z alone
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +63,31 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Words up to this many bytes are hashed by eights; longer ones by a polynomial.
+SHORT = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=total[1:])
-    return mix64((total[ends] - total[starts]) * powers(BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word's bytes, which are read eight at a time."""
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # from every byte on
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+    out = mix64((eights[starts] & masks[np.minimum(sizes, 8)]) + sizes.astype(U64) * U64(BASE))
+    more = np.flatnonzero(sizes > 8)
+    for at in range(8, SHORT, 8):
+        if not len(more):
+            return out
+        out[more] = mix64(out[more] * U64(BASE) + (eights[starts[more] + at] & masks[np.minimum(sizes[more] - at, 8)]))
+        more = more[sizes[more] > at + 8]
+    if len(more):
+        offsets = np.concatenate([[0], np.cumsum(sizes[more])])
+        joined = data[np.arange(offsets[-1]) + np.repeat(starts[more] - offsets[:-1], sizes[more])]
+        total = np.zeros(len(joined) + 1, U64)
+        np.cumsum(BYTE_VALUES[joined] * powers(BASE, len(joined)), out=total[1:])
+        out[more] = mix64((total[offsets[1:]] - total[offsets[:-1]]) * powers(BASE_INV, len(joined) + 1)[offsets[:-1]] + sizes[more].astype(U64))
+    return out
 
 
 def words_per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

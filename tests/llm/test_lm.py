@@ -117,44 +117,139 @@ def test_awkward_rows_and_no_training(awkward, documents):
 
 
 class Shared:
-    """Stands for a broadcast: a lexicon of the rows' words, and fresh weights."""
+    """Stands for a broadcast."""
 
-    def __init__(self, rows):
-        words, n = np.unique(lm.keys_of([t for _, t in rows])[0], return_counts=True)
-        bucket = words & (lm.BUCKETS - 1)
-        lex = lm.Lexicon(words, n, np.bincount(bucket, n, lm.BUCKETS).astype(np.int64), np.bincount(bucket, minlength=lm.BUCKETS))
-        self.value = (lex, lm.fresh_weights(lex.frequency))
+    def __init__(self, value):
+        self.value = value
 
 
-def batches(rows, size=50):
+def lexicon_of(rows) -> lm.Lexicon:
+    words, n = np.unique(lm.keys_of([t for _, t in rows])[0], return_counts=True)
+    bucket = words & (lm.BUCKETS - 1)
+    return lm.Lexicon(words, n, np.bincount(bucket, n, lm.BUCKETS).astype(np.int64), np.bincount(bucket, minlength=lm.BUCKETS))
+
+
+def looked_up(rows, lex, size=50) -> pa.Table:
     ids, texts = zip(*rows, strict=True)
     table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+    return pa.Table.from_batches(list(lm._look_up(Shared(lex))(iter(table.to_batches(max_chunksize=size)))))
+
+
+def grouped(items: list[bytes], groups: list[int], size=50):
+    table = pa.table({"group": pa.array(groups, pa.int64()), "items": pa.array(items, pa.binary())})
     return iter(table.to_batches(max_chunksize=size))
 
 
 def test_partitions_weigh_as_many_tokens_as_they_hold(monkeypatch):
-    """Tokens count over all flushes, and once, however many passes there are."""
+    """Tokens count over all flushes, and once; a task's groups are summed up."""
     rows = [(i, " ".join(["word"] * 39)) for i in range(103)]
-    shared = Shared(rows)
-    for hold, least in ((400, 1), (1 << 20, 1), (400, 500), (1 << 20, 20)):
+    lex = lexicon_of(rows)
+    start = lm.fresh_weights(lex.frequency)
+    items = looked_up(rows, lex).column("items").to_pylist()
+    updates = []
+    original = lm.train
+    monkeypatch.setattr(lm, "train", lambda w, sequences, o: updates.append(original(w, sequences, o)) or updates[-1])
+    for hold, groups, parts in ((400, [0] * 103, 11), (1 << 20, [0] * 103, 1), (1 << 20, [0] * 50 + [4] * 53, 2), (400, [0] * 50 + [4] * 53, 11)):
         monkeypatch.setattr(lm, "HOLD_TOKENS", hold)
-        (out,) = lm._train(shared, 0.003, least)(batches(rows))
+        updates.clear()
+        (out,) = lm._train(Shared(start), 0.003)(grouped(items, groups))
         assert out.column("tokens").to_pylist() == [103 * 40]
+        assert len(updates) == parts
+        assert sum(n for _, n in updates) == 103 * 40
+
+
+def test_groups_of_a_task_are_those_of_tasks_of_their_own():
+    rows = corpus(3, 60)
+    lex = lexicon_of(rows)
+    start = lm.fresh_weights(lex.frequency)
+    items = looked_up(rows, lex).column("items").to_pylist()
+
+    def total(*tasks):
+        out = [b for t in tasks for b in lm._train(Shared(start), 0.01)(t)]
+        return sum(b.column("tokens")[0].as_py() for b in out), sum(np.frombuffer(b.column("weights")[0].as_py()) for b in out)
+
+    one = total(grouped(items, [0] * 20 + [1] * 40))
+    two = total(grouped(items[:20], [0] * 20), grouped(items[20:], [1] * 40, size=7))
+    assert one[0] == two[0]
+    assert np.allclose(one[1], two[1])
 
 
 def test_training_takes_every_token_of_every_document(monkeypatch):
     """Each document goes to training whole, in one piece and from its first token."""
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(n))) for i, n in enumerate([3000, 700, 1, 0, *[90] * 60])]
-    shared = Shared(rows)
+    lex = lexicon_of(rows)
     taken = []
     original = lm.train
     monkeypatch.setattr(lm, "train", lambda w, sequences, o: (taken.extend(sequences), original(w, sequences, o))[1])
-    list(lm._train(shared, 0.003, 1)(batches(rows)))
-    whole = [shared.value[0].look_up(lm.keys_of([t])[0])[0].tolist() for _, t in rows]
+    monkeypatch.setattr(lm, "HOLD_TOKENS", 1000)
+    table = looked_up(rows, lex)
+    list(lm._train(Shared(lm.fresh_weights(lex.frequency)), 0.003)(grouped(table.column("items").to_pylist(), [i % 3 for i in range(len(rows))])))
+    whole = [lex.look_up(lm.keys_of([t])[0])[0].tolist() for _, t in rows]
     assert sorted(s.tolist() for s in taken) == sorted(whole)
 
 
+def test_every_training_row_is_in_one_round_and_group(documents, monkeypatch):
+    """The rounds together train on all tokens of the training documents, once."""
+    seen = []
+    original = lm.averaged
+
+    def spy(parts, like):
+        seen.append(sum(r.tokens for r in parts.collect()))
+        return original(parts, like)
+
+    monkeypatch.setattr(lm, "averaged", spy)
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 500)
+    rows = corpus(7, 300)
+    lm.log_probabilities(documents(rows)).collect()
+    assert len(seen) == len(lm.ROUNDS)
+    assert sum(seen) == sum(len(tokens(t)) for i, t in rows if not held_out(i))
+
+
+def test_scores_do_not_depend_on_how_the_table_is_split(documents, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 2000)
+    rows = corpus(4, 300)
+    one, eight = ({r.doc_id: r.score for r in lm.log_probabilities(documents(rows).repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == eight.keys()
+    assert all(abs(one[i] - eight[i]) < 1e-4 * max(1, abs(one[i])) for i in one)
+
+
+def test_score_by_brute_force():
+    """The probability of each word, spelt out from the weights: gates, class, item
+    within the class, and the word's share of its bucket."""
+    rows = [*corpus(8, 60), (99, None), (100, "unseen0 words1 only2")]
+    lex = lexicon_of(rows[:50])
+    w = {k: v + np.random.default_rng(9).normal(0, 0.3, v.shape).astype(np.float32) for k, v in lm.fresh_weights(lex.frequency).items()}
+    count = Counter(int(k) for k in lm.keys_of([t for _, t in rows[:50]])[0])
+    listed = set(sorted(count, key=lambda k: (-count[k], k))[: lm.VOCABULARY])
+    frequency = {("word", k): count[k] for k in listed}
+    for b in range(lm.BUCKETS):
+        frequency["bucket", b] = sum(n for k, n in count.items() if k not in listed and k % lm.BUCKETS == b)
+    logs = {}
+    table = looked_up(rows, lex)
+    for batch in lm._score(Shared(w))(iter(table.select([c for c in table.column_names if c != "rare"]).to_batches(max_chunksize=9))):
+        logs |= dict(zip(batch.column("doc_id").to_pylist(), batch.column("score").to_pylist(), strict=True))
+    k = lm.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    items = dict(zip(table.column("doc_id").to_pylist(), table.column("items").to_pylist(), strict=True))
+    for i, text in rows:
+        h, total = np.zeros(k), 0.0
+        for key, x in zip(lm.keys_of([text])[0].tolist(), np.frombuffer(items[i], "<i2").tolist(), strict=True):
+            name = ("word", key) if key in listed else ("bucket", key % lm.BUCKETS)
+            assert lex.frequency[x] == frequency[name]  # items fall by frequency
+            c, at = divmod(x, lm.PER_CLASS)
+            for logits, pick in ((h @ w["to_class"] + w["class_bias"], c), (h @ w["to_item"][c] + w["item_bias"][c], at)):
+                total += math.log10(np.exp(logits[pick]) / np.exp(logits).sum())
+            if name[0] == "bucket":
+                words = sum(1 for q in count if q not in listed and q % lm.BUCKETS == name[1])
+                # Unseen words' own half counts are added by the join over the whole table.
+                total += (math.log10(count[key] + 0.5) if count[key] else 0) - math.log10(frequency[name] + 0.5 * (words + 1))
+            r, z = (sigmoid(w["input"][x][s] + h @ w["state"][:, s]) for s in (slice(0, k), slice(k, 2 * k)))
+            n = np.tanh(w["input"][x][2 * k :] + r * (h @ w["state"][:, 2 * k :] + w["gate"]))
+            h = (1 - z) * n + z * h
+        assert abs(total - logs[i]) < 1e-4 * max(1, abs(total)), i
+
+
 def test_lanes_train_on_whole_documents_with_states_of_their_own(monkeypatch):
     """Documents that share lanes give the likelihood that each gives alone, and
     gradients that don't reach from one into another."""
