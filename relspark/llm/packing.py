@@ -3,10 +3,13 @@
 Document lengths are counted in a histogram of coarse bins; shallow combinations
 of bins that fill a window are the columns of a non-negative least squares
 problem whose right side is the histogram. The rounded-down solution says how
-often each combination is used; what is left is packed greedily, cut wherever a
-gap ends. Gaps that binning leaves are filled by pieces of the residual too, so
-only the end of a partition is short; it is laid out in powers of two, which
-need no padding.
+often each combination is used. What it leaves, short documents above all, is joined
+in the same way to bundles that fill 8, 16, 32, ... tokens, up to the window; so the
+combinations stay shallow whatever the lengths. What is left then is packed greedily,
+cut wherever a gap ends. Gaps that binning leaves are filled by pieces of the residual
+too, and, where it doesn't suffice, by those of as few planned sequences as do, so
+only the end of a partition is short; it is laid out in powers of two, which need no
+padding.
 
 Blocks of bounded token counts are solved one after the other in each input
 partition: no shuffle, no global order, bounded memory, and a lost task is
@@ -94,26 +97,83 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-class Plan:
-    """Repeat counts of combinations, solved for one histogram of lengths."""
-
-    table = None
-
-    def __init__(self, histogram: np.ndarray):
-        if Plan.table is None:
-            Plan.table = combinations()
-        a = Plan.table
-        counts = np.floor(nnls(a, histogram.astype(float)) + 1e-6).astype(np.int64)
-        left = histogram.copy()
-        self.uses: list[tuple[np.ndarray, int]] = []
-        for j in np.argsort(-counts, kind="stable"):
-            if counts[j] <= 0:
-                break
-            need = a[:, j].astype(np.int64)
-            n = min(counts[j], *(left[need > 0] // need[need > 0]))  # rounding never overdraws
-            if n > 0:
-                left -= n * need
-                self.uses.append((np.flatnonzero(need).repeat(need[need > 0]), int(n)))
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def planned(lengths: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Which pieces fill a window together, by one solution for the histogram of their
+    lengths, and which are left. A piece counts as the next whole bin, so that a group's
+    lengths never exceed the window."""
+    bins = min(BINS, window)
+    if bins not in _TABLES:
+        _TABLES[bins] = combinations(bins)
+    a = _TABLES[bins]
+    fit = np.flatnonzero(lengths <= window)
+    bin_of = -(-lengths[fit] * bins // window) - 1
+    left = np.bincount(bin_of, minlength=bins)
+    counts = np.floor(nnls(a, left.astype(float)) + 1e-6).astype(np.int64) if len(fit) else np.zeros(a.shape[1], np.int64)
+    queues = np.split(fit[np.argsort(bin_of, kind="stable")], np.cumsum(left)[:-1])
+    groups: list[np.ndarray] = []
+    for j in np.argsort(-counts, kind="stable"):
+        if counts[j] <= 0:
+            break
+        need = a[:, j].astype(np.int64)
+        n = int(min(counts[j], *(left[need > 0] // need[need > 0])))  # rounding never overdraws
+        if n <= 0:
+            continue
+        members = []
+        for k in np.flatnonzero(need):
+            take = n * need[k]
+            members.append(queues[k][left[k] - take : left[k]].reshape(n, need[k]))
+            left[k] -= take
+        groups += list(np.concatenate(members, 1))
+    gone = np.zeros(len(lengths), bool)
+    if groups:
+        gone[np.concatenate(groups)] = True
+    return groups, np.flatnonzero(~gone)
+
+
+def plan(lengths: np.ndarray, window: int = WINDOW) -> tuple[list[list[int]], list[int]]:
+    """Documents (each within a window) that make a sequence together, as combinations
+    say, and those left. What the first solution leaves is joined to bundles that fill
+    ever larger fractions of the window, each by a solution of its own; a bundle is then a
+    piece like any other. So shallow combinations serve short documents too."""
+    groups, left = planned(lengths, window)
+    sequences = [g.tolist() for g in groups]
+    pieces, sizes = [[int(d)] for d in left], lengths[left]
+    level = 8
+    while level <= window and len(pieces) > 1:
+        groups, left = planned(sizes, level)
+        bundles = [[d for i in g for d in pieces[i]] for g in groups]
+        if level == window:
+            sequences += bundles
+            bundles = []
+        sums = [int(sizes[g].sum()) for g in groups][: len(bundles)]
+        sizes = np.array([*sums, *sizes[left]], np.int64)
+        pieces = [*bundles, *(pieces[i] for i in left)]
+        level *= 2
+    return sequences, [d for p in pieces for d in p]
+
+
+def _poured(rows: list[list[tuple[int, int, int]]], pieces: list[tuple[int, int, int]], window: int) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Rows filled up with pieces from the end of the list, cut wherever a gap ends: full
+    rows, rows that stay short, pieces left."""
+    full, at = [], 0
+    while at < len(rows):
+        row = rows[at]
+        gap = window - sum(p[2] for p in row)
+        while gap and pieces:
+            d, start, length = pieces.pop()
+            take = min(gap, length)
+            row.append((d, start, take))
+            gap -= take
+            if length > take:
+                pieces.append((d, start + take, length - take))
+        if gap:
+            break
+        full.append(row)
+        at += 1
+    return full, rows[at:], pieces
 
 
 def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
@@ -123,51 +183,30 @@ def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> tuple[list[list[t
     rest = lengths % window
     for d in np.flatnonzero(lengths >= window).tolist():
         full += [[(d, s * window, window)] for s in range(int(lengths[d]) // window)]
-    base = lengths - rest
     docs = np.flatnonzero(rest)
-    width = window // BINS
-    bin_of = (rest[docs] + width - 1) // width - 1
-    order = np.argsort(bin_of, kind="stable")
-    by_bin = np.split(docs[order], np.cumsum(np.bincount(bin_of, minlength=BINS))[:-1]) if len(docs) else [docs] * BINS
-    queues = [q.tolist() for q in by_bin]
-    plan = Plan(np.bincount(bin_of, minlength=BINS)) if len(docs) >= 2 else None
-    begun: list[list[tuple[int, int, int]]] = []
-    for sizes, n in plan.uses if plan else ():
-        for _ in range(n):
-            begun.append([(d, int(base[d]), int(rest[d])) for d in (queues[b].pop() for b in sizes)])
-    # The residual, longest first, is cut to fill the gaps that binning left and then whole windows.
-    left = [(d, int(base[d]), int(rest[d])) for q in reversed(queues) for d in q]
-    short: list[tuple[int, int, int]] = []
-    open_rows = begun[::-1]
-    row = open_rows.pop() if open_rows else []
-    gap = window - sum(p[2] for p in row)
-    while True:
-        while gap == 0:
-            full.append(row)
-            row = open_rows.pop() if open_rows else []
-            gap = window - sum(p[2] for p in row)
-        if not left:
-            break
-        d, start, length = left.pop()
-        take = min(gap, length)
-        row.append((d, start, take))
-        gap -= take
-        if length > take:
-            left.append((d, start + take, length - take))
-    # No residual is left: unmake the shortest begun sequences to fill the others.
-    pending = [row, *open_rows]
-    pool = [p for r in pending for p in r]
-    row, gap = [], window
-    for d, start, length in pool:
-        while length:
-            take = min(gap, length)
-            row.append((d, start, take))
-            start, length, gap = start + take, length - take, gap - take
-            if gap == 0:
-                full.append(row)
-                row, gap = [], window
-    short = row
-    return full, short
+    sequences, left = plan(rest[docs], window)
+
+    def piece(i: int) -> tuple[int, int, int]:
+        d = int(docs[i])
+        return d, int(lengths[d] - rest[d]), int(rest[d])
+
+    # The residual, longest last, fills the gaps that binning left.
+    begun = [[piece(i) for i in s] for s in sequences]
+    pieces = [piece(i) for i in sorted(left, key=lambda i: rest[docs[i]], reverse=True)]
+    done, begun, pieces = _poured(begun, pieces, window)
+    full += done
+    # Where it doesn't suffice, as few planned sequences as do are unmade for the others' gaps.
+    missing = sum(window - sum(p[2] for p in r) for r in begun)
+    while begun and missing > sum(p[2] for p in pieces):
+        row = begun.pop()
+        missing -= window - sum(p[2] for p in row)
+        pieces += row
+    done, begun, pieces = _poured(begun, pieces, window)
+    full += done
+    # Whole windows of what is left then.
+    empty = [[] for _ in range(sum(p[2] for p in pieces) // window)]
+    done, _, pieces = _poured(empty, pieces, window)
+    return full + done, [*(p for r in begun for p in r), *pieces]
 
 
 def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -191,34 +230,37 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
 
 # ---- tokens ---------------------------------------------------------------
 
-_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
+_ENCODERS: dict[tuple[str, bool], Callable[[str], np.ndarray]] = {}
 #: Letters on which both libraries' Unicode tables agree: up to Latin Extended-B.
 _BEYOND = re.compile("[^\x00-ɏ]")
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
-    """The ids of a text by the tokenizers library, strings of special tokens
-    being ordinary text. Where the same vocabulary lies beside it as ranks, plain
-    texts take the faster library, which gives the same ids; texts with rarer
-    characters, or that it refuses, always take the first."""
-    if vocabulary in _ENCODERS:
-        return _ENCODERS[vocabulary]
+def encoder(vocabulary: str = VOCABULARY, special_as_text: bool = False) -> Callable[[str], np.ndarray]:
+    """The ids of a text by the tokenizers library: encode(text, add_special_tokens=False).
+    A special token's own string in a text gives its id, unless special_as_text. Where the
+    same vocabulary lies beside it as ranks, plain texts take the faster library, which
+    gives the same ids; texts with such strings or rarer characters, or that it refuses,
+    always take the first."""
+    if (vocabulary, special_as_text) in _ENCODERS:
+        return _ENCODERS[vocabulary, special_as_text]
     exact = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    exact.encode_special_tokens = True
+    exact.encode_special_tokens = special_as_text
+    added = [t.content for t in exact.get_added_tokens_decoder().values()]
+    apart = re.compile("|".join([_BEYOND.pattern, *map(re.escape, added)]))
 
     def slow(text: str) -> np.ndarray:
         return np.asarray(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
     ranks_file = public_tokenizers.path(vocabulary.replace(".json", ".tiktoken"))
     if not os.path.exists(ranks_file):
-        _ENCODERS[vocabulary] = slow
+        _ENCODERS[vocabulary, special_as_text] = slow
         return slow
     with open(ranks_file) as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
     quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def fast(text: str) -> np.ndarray:
-        if _BEYOND.search(text):
+        if apart.search(text):
             return slow(text)
         try:
             return np.asarray(quick.encode_ordinary(text), np.uint32)
@@ -227,7 +269,7 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
                 raise
             return slow(text)
 
-    _ENCODERS[vocabulary] = fast
+    _ENCODERS[vocabulary, special_as_text] = fast
     return fast
 
 

@@ -11,9 +11,7 @@ from relspark.llm import packing
 
 
 def reference() -> Tokenizer:
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 TEXTS = ["", "Hello world", "  spaces   and\n\nlines\t", "ünïcode ñandú çà 12345", "日本語 and кириллица", "😀 emoji 👩‍👩‍👧", "don't we'll I'd", "<|endoftext|> is text", "a" * 5000, "\x00\x01\x7f", "word " * 3000, " ", "é" * 999]
@@ -25,6 +23,11 @@ def test_both_libraries_give_the_same_ids():
         assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_strings_of_special_tokens():
+    assert packing.encoder()("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]
+    assert 50256 not in packing.encoder(special_as_text=True)("x <|endoftext|> y").tolist()
+
+
 def test_nnls_against_normal_equations():
     rng = np.random.default_rng(1)
     a, b = rng.random((8, 5)), rng.random(8)
@@ -56,6 +59,31 @@ def test_pack_lengths_uses_each_token_once(seed):
     assert at == dict(enumerate(lengths.tolist()))
 
 
+@pytest.mark.parametrize(("least", "most", "n"), [(20, 400, 8000), (1, 40, 30_000), (1, 5, 20_000), (1, 2048, 2000), (1, 6000, 1000)])
+def test_the_solver_plans_documents_of_all_lengths(least, most, n):
+    """Of the tokens outside whole windows, most lie in planned sequences, and most of
+    these stay as planned."""
+    lengths = np.random.default_rng(least).integers(least, most + 1, n)
+    rest = lengths % packing.WINDOW
+    rest = rest[rest > 0]
+    sequences, left = packing.plan(rest)
+    assert sorted([d for s in sequences for d in s] + left) == list(range(len(rest)))
+    assert all(rest[s].sum() <= packing.WINDOW for s in sequences)
+    assert sum(int(rest[s].sum()) for s in sequences) > 0.6 * rest.sum()
+    full, _ = packing.pack_lengths(lengths)
+    docs = np.flatnonzero(lengths % packing.WINDOW)
+    home = {d: i for i, r in enumerate(full) for d, _, size in r if size == lengths[d] % packing.WINDOW}
+    kept = sum(len({home.get(int(docs[d]), -d) for d in s}) == 1 for s in sequences)
+    assert kept > 0.9 * len(sequences)
+
+
+def test_lengths_that_no_combination_fills():
+    """Documents of one length that nothing completes are all left to the filler."""
+    full, short = packing.pack_lengths(np.full(900, 91))
+    assert sum(n for r in full for _, _, n in r) + sum(n for _, _, n in short) == 900 * 91
+    assert all(sum(p[2] for p in r) == packing.WINDOW for r in full)
+
+
 def check(found, rows):
     """Every id of every document in exactly one piece; sequences gapless and unpadded."""
     exact = reference()
