@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -52,9 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
-    session, or, only where that is unset (tests), a folder of our own."""
+    session, or, where that is unset and driver and executors are one process (tests), a
+    folder of our own. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _SCRATCH.setdefault("own", tempfile.mkdtemp(prefix="relspark-"))
     return found.rstrip("/")
 
@@ -105,26 +109,45 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ---- sets of ids of fixed size ---------------------------------------------
+# ---- sets of ids of bounded size --------------------------------------------
 
-BITMAP_BITS = 1 << 24
+#: Bits of a filter: FILTER_SHARE for each id, FILTER_BITS at most (16 MB).
+FILTER_SHARE = 16
+FILTER_BITS = 1 << 27
 
 
-def id_bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
-    """A bitmap of hashed ids (column id, long): at most bits / 64 words are sent
-    to the driver, whatever the input. It may hold more ids than were put in, so
-    it serves to leave out most of what a join would drop, never to decide."""
+@dataclass(frozen=True)
+class IdFilter:
+    """A bitmap of hashed ids, or, where there are too many for one, nothing."""
+
+    bits: int
+    bitmap: bytes | None
+
+
+def id_filter(ids: DataFrame, most_bits: int = FILTER_BITS) -> IdFilter:
+    """A filter of ids (column id, long), as large as their number asks for. It may let
+    through more ids than were put in, so it serves to leave out most of what a join would
+    drop, never to decide. Above most_bits / 4 ids there is none, and joins get all rows:
+    a table in which so many rows are touched is shuffled once. bits / 64 words at most are
+    sent to the driver."""
+    n = ids.count()
+    bits = 1 << max(16, (FILTER_SHARE * n - 1).bit_length())
+    if n > most_bits // 4:
+        return IdFilter(0, None)
+    bits = min(bits, most_bits)
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(bits // 64, np.int64)
     found = words.toArrow()
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out.tobytes()
+    return IdFilter(bits, out.tobytes())
 
 
-def maybe_in(df: DataFrame, bitmap: bytes, member: bool = True, bits: int = BITMAP_BITS) -> DataFrame:
-    """Rows of df whose doc_id may be in the bitmap, or those that surely aren't."""
-    held = df.sparkSession.sparkContext.broadcast(bitmap)
+def maybe_in(df: DataFrame, ids: IdFilter, member: bool = True, key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key may be among the ids, or those that surely aren't."""
+    if ids.bitmap is None:
+        return df if member else df.where(F.lit(False))
+    held = df.sparkSession.sparkContext.broadcast(ids.bitmap)
     columns = df.columns
 
     def keep(batches):
@@ -134,5 +157,5 @@ def maybe_in(df: DataFrame, bitmap: bytes, member: bool = True, bits: int = BITM
             inside = (words[at >> 6] >> (at & 63) & 1).astype(bool)
             yield batch.select(columns).filter(pa.array(inside if member else ~inside))
 
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("bigint")
+    at = F.pmod(F.xxhash64(key), F.lit(ids.bits)).cast("bigint")
     return df.withColumn("_at", at).mapInArrow(keep, df.schema)

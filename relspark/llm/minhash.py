@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
-from relspark.llm.common import cut, id_bitmap, maybe_in
+from relspark.llm.common import cut, id_filter, maybe_in
 from relspark.llm.components import components, relabelled
 
 COORDINATES = 64
@@ -270,7 +270,7 @@ def confirmed(texts: DataFrame, sizes: DataFrame, clusters: DataFrame, width: in
     sized = members.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
     placed = sized.join(sized.groupBy("cluster").agg(_parts().alias("chunks")), "cluster")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    bitmap = id_bitmap(placed.select(F.col("rep").alias("id")))
+    bitmap = id_filter(placed.select(F.col("rep").alias("id")))
     # Most texts need no shuffle: they belong to no cluster.
     held = cut(maybe_in(texts, bitmap).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "n", "cluster", "chunks", "chunk", "text"), "clustered")
 
@@ -355,7 +355,7 @@ def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     touched = cut(gone.withColumn("_gone", F.lit(True)).unionByName(repeated.withColumn("_gone", F.lit(False))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("_gone").alias("_gone")), "touched")
-    bitmap = id_bitmap(touched.select(F.col("_id").alias("id")))
+    bitmap = id_filter(touched.select(F.col("_id").alias("id")))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
     untouched = maybe_in(packed, bitmap, member=False)
     joined = maybe_in(packed, bitmap).join(touched, F.col("doc_id") == F.col("_id"), "left").where("_gone is null or not _gone")

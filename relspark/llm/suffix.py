@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
-from relspark.llm.common import cut, id_bitmap, maybe_in, shuffle_width
+from relspark.llm.common import cut, id_filter, maybe_in, shuffle_width
 
 LENGTH = 100
 GRAM = 30
@@ -429,7 +429,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT_RUNS) -> DataFrame:
     def wanted(kind: int) -> DataFrame:
         asked = firsts.where(F.col("kind") == kind)
         per_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("wanted"))
-        some = maybe_in(texts, id_bitmap(asked.select(F.col("doc_id").alias("id"))))
+        some = maybe_in(texts, id_filter(asked.select(F.col("doc_id").alias("id"))))
         return some.join(per_doc, "doc_id").select("doc_id", "text", "wanted")
 
     snippets = wanted(RUN).mapInArrow(_cut_runs, "anchor long, doc_id long, start long, snippet binary").distinct()
@@ -479,7 +479,7 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     per_doc = cut(repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
-    bitmap = id_bitmap(per_doc.select(F.col("doc_id").alias("id")))
+    bitmap = id_filter(per_doc.select(F.col("doc_id").alias("id")))
     touched = maybe_in(rows, bitmap).join(per_doc, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,n:int>>")))
     changed = touched.mapInArrow(_measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("bigint")
@@ -525,7 +525,7 @@ def remove(docs: DataFrame) -> DataFrame:
     goes."""
     columns = docs.columns
     per_doc = cut(repeated_spans(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "spans")
-    bitmap = id_bitmap(per_doc.select(F.col("_id").alias("id")))
+    bitmap = id_filter(per_doc.select(F.col("_id").alias("id")))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
     untouched = maybe_in(packed, bitmap, member=False).select(*(F.col("_doc").getField(c).alias(c) for c in columns))
     touched = maybe_in(packed, bitmap).join(per_doc, F.col("doc_id") == F.col("_id"), "left").select("_doc", F.col("_doc.text").cast("string").alias("_text"), "_spans")

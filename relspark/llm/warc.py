@@ -5,9 +5,16 @@ fields depend on the version, a declared length and that many bytes. The
 converter trusts only declared lengths, never blank lines, and synthesises what
 WARC wants besides: record ids, ISO timestamps, record types and digests.
 
-Archives are written by Spark's text writer with the blank line pair that ends
-a WARC record as line separator, so that every file is a valid gzipped WARC
-written through Hadoop's commit protocol, to any store Spark can write.
+Records are compressed one by one, a gzip member each, as WARC readers expect (a record
+of 16 MB and more takes several). Spark's text writer puts members after one another, so
+files go through Hadoop's commit protocol to any store that Spark can write: a member ends
+in the highest byte of its length, which is zero below 16 MB, and that zero byte is the
+writer's line separator. Files hold FILE_BYTES and a record more at most.
+
+Which pages are revisits is found on ids, digests and sizes alone. Payloads that a
+ten-thousandth of all pages share, of which there can't be more than ten thousand, are
+looked up by broadcast, so their copies meet in no task; only pages that may be revisits are
+then joined to their marks, by id and digest.
 
 Nulls: a null html is an empty payload, a null url becomes about:blank, a null
 page_id is kept and never referred to. Empty tables give empty results, repeated
@@ -19,6 +26,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -26,13 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm.common import scratch_path
+from relspark.llm.common import cut, id_filter, maybe_in, scratch_path
 
 #: Payloads below this size are never revisits.
 LEAST_REVISIT = 100
-#: Records of a file at most, so that a file fits into memory when read back.
-RECORDS_PER_FILE = 2000
-RECORD_END = "\r\n\r\n"
+#: Compressed bytes of a file, so that it fits into memory when read back.
+FILE_BYTES = 32 << 20
+#: Bytes of a gzip member's content at most; its length then ends in a zero byte.
+MEMBER_BYTES = (1 << 24) - 1
+LEVEL = 6
+#: Payloads of this many pages, and of one in HOT_SHARE, are broadcast.
+HOT_PAGES, HOT_SHARE = 1000, 10_000
+RECORD_END = b"\r\n\r\n"
 #: Fixed values of the ARC formats: header fields by version.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
@@ -170,26 +183,61 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     return
 
 
+def gzip_members(record: bytes) -> bytes:
+    """The record and its end as gzip members, the last byte (zero) of all left out."""
+    whole = record + RECORD_END
+    parts = [gzip.compress(whole[at : at + MEMBER_BYTES], LEVEL, mtime=0) for at in range(0, len(whole), MEMBER_BYTES)]
+    return b"".join(parts)[:-1]
+
+
+def read_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of a file, a record in memory at a time."""
+    view, at, held = memoryview(data), 0, b""
+    while at < len(data):
+        member, parts = zlib.decompressobj(wbits=31), []
+        while not member.eof:
+            chunk = view[at : at + (1 << 16)]
+            if not len(chunk):
+                raise ValueError("gzip member is cut short")
+            parts.append(member.decompress(chunk))
+            at += len(chunk) - len(member.unused_data)
+        content = b"".join(parts)
+        held += content
+        if len(content) < MEMBER_BYTES:  # a full member is followed by the record's rest
+            yield from parse_warc(held)
+            held = b""
+    if held:
+        yield from parse_warc(held)
+
+
 # ---- over tables ----------------------------------------------------------
 
 
-def revisit_targets(pages: DataFrame) -> DataFrame:
-    """Digest and smallest page_id of the payloads that occur more than once.
-    Counts are summed before the shuffle, so a hot payload is no hot task."""
+def _slim(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
-    return (
-        pages.where(F.octet_length(payload) >= LEAST_REVISIT)
-        .select(F.sha2(payload.cast("binary"), 256).alias("digest"), F.col("page_id").cast("bigint").alias("page_id"))
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"))
-        .where((F.col("n") > 1) & F.col("first_id").isNotNull())
-        .select("digest", "first_id")
-    )
+    return pages.where(F.octet_length(payload) >= LEAST_REVISIT).select(F.col("page_id").cast("bigint").alias("page_id"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+
+
+def revisits(slim: DataFrame) -> DataFrame:
+    """page_id, digest, first_id of the pages (slim: page_id, digest) that are revisits,
+    each pair once. Counts are summed before the shuffle."""
+    rows = cut(slim.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")), "page-digests")
+    groups = cut(rows.groupBy("digest").agg(F.sum("n").alias("n"), F.min("page_id").alias("first_id")).where((F.col("n") > 1) & F.col("first_id").isNotNull()), "page-groups")
+    pages = rows.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") >= max(HOT_PAGES, pages // HOT_SHARE)
+    hot = F.broadcast(groups.where(often).select("digest", F.col("first_id").alias("hot_id")))  # HOT_SHARE rows at most
+    looked_up = rows.select("page_id", "digest").join(hot, "digest", "left")
+    rare = looked_up.where(F.col("hot_id").isNull()).join(groups.where(~often).select("digest", "first_id"), "digest")
+    found = looked_up.where(F.col("hot_id").isNotNull()).select("page_id", "digest", F.col("hot_id").alias("first_id")).union(rare.select("page_id", "digest", "first_id"))
+    # A repeated page_id: all rows with the smallest id are responses.
+    return found.where(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of the task's file, and a record's members; file by file."""
+    file, size = 0, 0
     for batch in batches:
-        out = []
+        out, files = [], []
         for key, url, html, first in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "first_id")), strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
             http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -197,18 +245,27 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = f"pages-{version}.arc"
             legacy = arc_head(version, name) + arc_record(version, url or "", arc_date(key or 0), http + payload, name=name)
             for record in parse_arc(legacy):
-                out.append(arc_to_warc(record, key, first).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string() if sum(map(len, out)) >> 30 else pa.string())], ["value"])
+                out.append(gzip_members(arc_to_warc(record, key, first)))
+                size += len(out[-1]) + 1
+                files.append(file)
+                if size >= FILE_BYTES:
+                    file, size = file + 1, 0
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(out, pa.binary())], ["file", "value"])
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """A WARC record per row of pages, as text files with WARC's record end."""
+    """A WARC record per row of pages, in gzipped files below path."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha2(payload.cast("binary"), 256).alias("digest"))
-    marked = rows.join(revisit_targets(pages), "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("first_id"))
-    # A repeated page_id: all rows with the smallest id are responses.
-    archives = marked.mapInArrow(_convert, "value string")
-    archives.write.option("compression", "gzip").option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    marks = cut(revisits(_slim(pages)), "revisits")
+    # Other pages need no shuffle.
+    touched = id_filter(marks.select(F.col("page_id").alias("id")))
+    other = maybe_in(rows, touched, member=False, key="page_id").withColumn("first_id", F.lit(None).cast("bigint"))
+    some = maybe_in(rows, touched, key="page_id").withColumn("digest", F.sha2(payload.cast("binary"), 256))
+    mine = marks.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first_id")
+    marked = some.join(mine, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "first_id")
+    archives = other.union(marked).mapInArrow(_convert, "file int, value binary").select("file", F.col("value").cast("string").alias("value"))
+    archives.write.partitionBy("file").option("lineSep", "\0").text(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +274,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in parse_warc(gzip.decompress(content.as_py())):
+            for fields, block in read_members(content.as_buffer()):
                 kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
                 size = int(fields["warc-x-payload-length"])
                 if kind == "response":

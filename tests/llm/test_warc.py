@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from relspark.llm import warc
 
@@ -63,8 +65,52 @@ def test_round_trip(spark, tmp_path):
 def test_files_are_valid_archives(spark, tmp_path):
     path = str(tmp_path / "out")
     warc.write_archives(spark.createDataFrame([(i, "http://a", f"page {i} " * 30) for i in range(50)], PAGES), path)
-    records = [r for f in Path(path).glob("*.gz") for r in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    files = [f.read_bytes() for f in Path(path).rglob("part-*")]
+    records = [r for f in files for r in warc.parse_warc(gzip.decompress(f))]
     assert sorted(warc.key_of(f["warc-record-id"]) for f, _ in records) == list(range(50))
+    assert [r for f in files for r in warc.read_members(f)] == records
+    assert sum(f.count(b"\x1f\x8b\x08") for f in files) >= 50  # a member for each record
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rng = random.Random(1)
+    pages = [(i, "u", "".join(rng.choices("abcdefghij", k=4000))) for i in range(60)]
+    batch = spark.createDataFrame(pages, PAGES).withColumn("first_id", F.lit(None).cast("bigint")).toArrow().to_batches()
+    sizes = {}
+    for out in warc._convert(iter(batch)):
+        for file, value in zip(out.column("file").to_pylist(), out.column("value").to_pylist(), strict=True):
+            sizes.setdefault(file, []).append(len(value) + 1)
+    assert len(sizes) > 3
+    assert all(sum(s) < 20_000 + max(s) for s in sizes.values())
+
+
+@pytest.mark.parametrize("size", [warc.MEMBER_BYTES - 1, warc.MEMBER_BYTES, warc.MEMBER_BYTES + 1, 2 * warc.MEMBER_BYTES, 3 * warc.MEMBER_BYTES - 5])
+def test_records_of_many_members(size):
+    """Around the bound of a member, records and their neighbours come back whole."""
+    records = []
+    for n in (10, size, 20):
+        head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n"
+        fill = n - len(head % n) - 4 if n == size else n
+        records.append(head % fill + b"x" * fill)
+    file = b"".join(warc.gzip_members(r) + b"\0" for r in records)
+    assert [len(block) for _, block in warc.read_members(file)] == [len(r) - len(r.split(b"\r\n\r\n")[0]) - 4 for r in records]
+    assert gzip.decompress(file) == b"".join(r + b"\r\n\r\n" for r in records)
+
+
+def test_a_large_page_and_a_hot_payload(spark, monkeypatch):
+    """Copies of a hot payload are marked by broadcast, others by a join; and a page of
+    many members comes back."""
+    monkeypatch.setattr(warc, "HOT_PAGES", 50)
+    hot, large = "h" * 300, "0123456789abcdef" * (1 << 21)
+    rows = [(i, "u", hot) for i in range(400)] + [(None, "u", hot)] + [(1000 + i, "u", f"{i // 3} " * 60) for i in range(90)] + [(5000, "u", large), (5001, "v", large)]
+    found = warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(found) == len(rows)
+    by_id = {r.page_id: r for r in found}
+    assert all((by_id[i].record_type, by_id[i].refers_to) == (("revisit", 0) if i else ("response", None)) for i in range(400))
+    assert by_id[None].refers_to == 0
+    assert all(by_id[1000 + i].refers_to == (None if i % 3 == 0 else 1000 + i - i % 3) for i in range(90))
+    assert (by_id[5000].record_type, by_id[5000].payload_bytes, by_id[5001].refers_to) == ("response", len(large), 5000)
 
 
 def test_extra_columns_repeated_rows_and_empty_tables(spark):
