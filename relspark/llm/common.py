@@ -130,7 +130,7 @@ def id_filter(ids: DataFrame, most_bits: int = FILTER_BITS) -> IdFilter:
     drop, never to decide. Above most_bits / 4 ids there is none, and joins get all rows:
     a table in which so many rows are touched is shuffled once. bits / 64 words at most are
     sent to the driver."""
-    n = ids.count()
+    n = ids.agg(F.approx_count_distinct("id")).first()[0]
     bits = 1 << max(16, (FILTER_SHARE * n - 1).bit_length())
     if n > most_bits // 4:
         return IdFilter(0, None)
