@@ -86,6 +86,31 @@ def test_far_annuli_are_not_visited(monkeypatch):
         assert sorted(scores[q == i], reverse=True) == sorted(s, reverse=True)[:5]
 
 
+def test_only_pairs_that_may_matter_are_sent(spark, monkeypatch):
+    """Separated clusters: most pairs of blocks and chunks are ruled out on their numbers."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "JOIN_BLOCKS", 10)
+    counts = []
+    original = topk.surviving
+
+    def spy(annuli, reaches):
+        out = original(annuli, reaches)
+        chunks = reaches.select("chunk").distinct().count()
+        counts.append((out.count(), annuli.count() * chunks))
+        return out
+
+    monkeypatch.setattr(topk, "surviving", spy)
+    rng = random.Random(7)
+    rows = []
+    for c in range(40):
+        centre = [rng.gauss(0, 1) for _ in range(8)]
+        size = math.sqrt(sum(x * x for x in centre))
+        rows += [(100 * c + i, [4 * x / size + rng.gauss(0, 0.02) for x in centre]) for i in range(40)]
+    assert found(spark, rows) == brute(rows)
+    ((kept, whole),) = counts
+    assert kept < 0.5 * whole
+
+
 def test_repeated_query_rows_are_no_bound(spark):
     """Rows of the query's own id, pivots all, don't stand for candidates."""
     rows = [(50, [10.0, 0.0])] * 3 + [(i, [10.0 - i, 0.0]) for i in range(1, 8)]
