@@ -102,15 +102,61 @@ t AS (
     CAST(floor(100 * sqrt(CAST(n_repeat_words AS DOUBLE) / greatest(CAST(n_words AS DOUBLE), 1.0))) AS BIGINT) AS x4
   FROM q
 )"""
-_CELLS = "SELECT _lang, _source, x1, x2, x3, x4, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL"
-_OWN = "(SELECT x.*, e.* EXCLUDE (_lang, _source) FROM x JOIN est AS e ON x._lang = e._lang AND x._source = e._source) AS own"
-_ALL = "(SELECT x.*, e.* EXCLUDE (_lang, _source) FROM x JOIN est AS e ON e._lang = '*' WHERE NOT EXISTS (SELECT 1 FROM est AS o WHERE o._lang = x._lang AND o._source = x._source)) AS pooled"
-_OP3_RESULT = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= "
+
+
+def _mcd(steps: int) -> str:
+    """Estimates by windows over all cells of a group, from fixed values of quality.py."""
+    floors, p = quality.FLOORS, range(4)
+    fit = "SELECT _lang, _source, start, " + ", ".join(f"CAST(sum(k) AS BIGINT) AS k{'' if i < 0 else i}" if i < 0 else f"CAST(sum(k * x{i + 1}) AS BIGINT) / CAST(sum(k) AS DOUBLE) AS a{i}" for i in (-1, *p))
+    for i in p:
+        for j in range(i + 1):
+            v = f"CAST(sum(k * x{i + 1} * x{j + 1}) AS BIGINT) / CAST(sum(k) AS DOUBLE) - CAST(sum(k * x{i + 1}) AS BIGINT) / CAST(sum(k) AS DOUBLE) * (CAST(sum(k * x{j + 1}) AS BIGINT) / CAST(sum(k) AS DOUBLE))"
+            fit += f", greatest({v}, 0.0) + {floors[i] ** 2}.0 AS v{i}{i}" if i == j else f", {v} AS v{i}{j}"
+
+    def factored(source: str) -> str:
+        """Cholesky's factor f of the covariance v, a row at a time."""
+        return f"""SELECT *, f00 * f11 * f22 * sqrt(v33 - f30 * f30 - f31 * f31 - f32 * f32) AS root, sqrt(v33 - f30 * f30 - f31 * f31 - f32 * f32) AS f33 FROM (
+          SELECT *, (v32 - f30 * f20 - f31 * f21) / f22 AS f32 FROM (
+          SELECT *, sqrt(v22 - f20 * f20 - f21 * f21) AS f22, (v31 - f30 * f10) / f11 AS f31 FROM (
+          SELECT *, (v21 - f20 * f10) / f11 AS f21 FROM (
+          SELECT *, sqrt(v11 - f10 * f10) AS f11 FROM (
+          SELECT *, v10 / f00 AS f10, v20 / f00 AS f20, v30 / f00 AS f30 FROM (
+          SELECT *, sqrt(v00) AS f00 FROM ({source}))))))) """
+
+    names = "a0, a1, a2, a3, f00, f10, f11, f20, f21, f22, f30, f31, f32, f33"
+    spherical = "SELECT _lang, _source, {} AS start, CAST(c1 AS DOUBLE), CAST(c2 AS DOUBLE), CAST(c3 AS DOUBLE), CAST(c4 AS DOUBLE), {}, 0.0, {}, 0.0, 0.0, {}, 0.0, 0.0, 0.0, {} FROM middle"
+    scaled = [f"sqrt({quality.MAD_SCALE} * CAST(t{i + 1} AS DOUBLE) * ({quality.MAD_SCALE} * CAST(t{i + 1} AS DOUBLE)) + {floors[i] ** 2}.0)" for i in p]
+    parts = [
+        "tally AS MATERIALIZED (SELECT _lang, _source, x1, x2, x3, x4, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL)",
+        "cells AS MATERIALIZED (SELECT * FROM tally UNION ALL SELECT '*', '*', x1, x2, x3, x4, CAST(sum(n) AS BIGINT) FROM tally GROUP BY ALL)",
+        "rows AS (SELECT _lang, _source, x1, x2, x3, x4 FROM cells, range(n))",
+        "centre AS MATERIALIZED (SELECT _lang, _source, " + ", ".join(f"quantile_disc(x{i + 1}, 0.5) AS c{i + 1}" for i in p) + " FROM rows GROUP BY ALL)",
+        "middle AS MATERIALIZED (SELECT _lang, _source, " + ", ".join(f"any_value(c{i + 1}) AS c{i + 1}, quantile_disc(abs(x{i + 1} - c{i + 1}), 0.5) AS t{i + 1}" for i in p) + " FROM rows JOIN centre USING (_lang, _source) GROUP BY ALL)",
+        f"e0(_lang, _source, start, {names}) AS MATERIALIZED ({spherical.format(0, *(f'{f}.0' for f in floors))} UNION ALL {spherical.format(1, *scaled)} UNION ALL "
+        f"SELECT _lang, _source, start, {names} FROM ({factored(fit + ' FROM (SELECT *, 2 AS start, n AS k FROM cells) GROUP BY _lang, _source, start')}))",
+    ]
+    for step in range(1, steps + 1):
+        taken = f"""SELECT *, least(n, h - before) AS k FROM (
+          SELECT *, (3 * sum(n) OVER (PARTITION BY _lang, _source, start) + 3) // 4 AS h, sum(n) OVER (PARTITION BY _lang, _source, start ORDER BY q, x1, x2, x3, x4) - n AS before
+          FROM (SELECT *, CAST(floor(d2 * {quality.DISTANCE_PARTS} + 0.5) AS BIGINT) AS q FROM ({_DISTANCE.format(source=f"SELECT * FROM cells JOIN e{step - 1} USING (_lang, _source)")}))) WHERE before < h"""
+        parts.append(f"e{step} AS MATERIALIZED (SELECT _lang, _source, start, {names}, root FROM ({factored(fit + f' FROM ({taken}) GROUP BY _lang, _source, start')}))")
+    parts.append(f"""est AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _lang, _source ORDER BY root, start) AS place FROM e{steps}) WHERE place = 1
+      AND (_lang = '*' OR (_lang, _source) IN (SELECT (_lang, _source) FROM tally GROUP BY _lang, _source HAVING sum(n) >= {quality.LEAST_ROWS})))""")
+    return ", ".join(parts)
+
+
+#: The squared length of the solution of f * z = x - a.
+_DISTANCE = """SELECT *, z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3 AS d2 FROM (
+  SELECT *, (CAST(x4 AS DOUBLE) - a3 - f30 * z0 - f31 * z1 - f32 * z2) / f33 AS z3 FROM (
+  SELECT *, (CAST(x3 AS DOUBLE) - a2 - f20 * z0 - f21 * z1) / f22 AS z2 FROM (
+  SELECT *, (CAST(x2 AS DOUBLE) - a1 - f10 * z0) / f11 AS z1 FROM (
+  SELECT *, (CAST(x1 AS DOUBLE) - a0) / f00 AS z0 FROM ({source})))))"""
+_JUDGED = "SELECT x.*, e.* EXCLUDE (_lang, _source) FROM x LEFT JOIN est AS own ON own._lang = x._lang AND own._source = x._source LEFT JOIN est AS e ON e._lang = coalesce(own._lang, '*') AND e._source = coalesce(own._source, '*')"
 OP3 = f"""
-WITH {_OP3_COUNTS}, est AS ({quality.estimates_sql(_CELLS)})
-SELECT {_OP3_RESULT}{quality.CUTOFF} AS kept FROM {quality.distance_sql(_OWN)} AS a
-UNION ALL
-SELECT {_OP3_RESULT}{quality.CUTOFF} AS kept FROM {quality.distance_sql(_ALL)} AS b
+WITH {_OP3_COUNTS}, {_mcd(quality.MOST_STEPS)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(d2, 0.0) <= {quality.CUTOFF} AS kept
+FROM ({_DISTANCE.format(source=_JUDGED)})
 """
 
 OP5 = """

@@ -2,14 +2,21 @@
 
 Counts of each text (words, symbols, repeated lines and words) are transformed to
 a vector of whole numbers, hundredths of square roots of rates, and tallied: a cell
-per distinct vector and group. On the cells, which stay few however many documents
-there are, minimum-covariance-determinant estimates are made per group of language
-and source: from medians, STEPS concentration steps each take the H share of
-documents with the smallest distances and estimate mean and covariance anew.
-Documents whose squared Mahalanobis distance exceeds CUTOFF are rejected. FLOORS,
-the least standard deviations that are believed, keep a statistic that hardly varies
-in a group from rejecting ordinary documents. Groups below LEAST_ROWS documents use
-the estimate over all documents.
+per distinct vector and group. On the cells, minimum-covariance-determinant estimates are
+made per group of language and source. STARTS estimates (medians with the least deviations
+that are believed; medians with median absolute deviations; mean and covariance of all) each
+go through concentration steps: the H documents with the smallest distances give mean and
+covariance anew, until no group changes, MOST_STEPS at most. Of a group's results that with
+the least determinant is kept. Its covariance is scaled by CONSISTENCY, which makes that of
+the H nearest of a normal distribution the whole one's, and documents beyond the chi-square
+quantile QUANTILE (one in a million of a normal distribution) are rejected. FLOORS, standard
+deviations whose squares are added to the variances, keep a statistic that hardly varies in
+a group from rejecting ordinary documents; words in repeated windows, which the base rules
+bound already, can't reject by themselves. Groups below LEAST_ROWS documents use the
+estimate over all documents.
+
+No group's cells meet in one task: the H nearest are found on tallies of distances by BINS
+bins to a doubling, and only cells of the bin in which the H-th lies are ordered.
 
 Sums are of whole numbers, so results don't depend on the order of rows. All is made
 of DataFrame and SQL functions. Word windows are compared by 64-bit hashes.
@@ -22,7 +29,7 @@ through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from relspark.llm.common import cut, words_of
@@ -34,11 +41,23 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 #: Vector: mean word length, symbols per word, repeated lines per line, repeated words per word.
 DIM = 4
-FLOORS = (20, 7, 15, 15)
+FLOORS = (20, 7, 12, 15)
 SHARE_NUMERATOR, SHARE_DENOMINATOR = 3, 4
-STEPS = 3
+STARTS = 3
+MOST_STEPS = 12
 LEAST_ROWS = 40
-CUTOFF = 50.0
+#: 0.75 / P(X6 <= q) with q the quantile of X4 at 0.75; the quantile of X4 at 1 - 1e-6. Xn is
+#: chi-square with n degrees of freedom.
+CONSISTENCY = 1.4864156071332657
+QUANTILE = 33.37684158171984
+CUTOFF = QUANTILE * CONSISTENCY
+#: A normal distribution's standard deviation over its median absolute deviation.
+MAD_SCALE = 1.4826
+#: Distances are compared in whole parts of this, and tallied by this many bins to a doubling.
+DISTANCE_PARTS = 1024
+BINS = 32
+#: Tasks, at least, that the cells of a large group are dealt to.
+SALTS = 16
 
 
 # ---- counts ------------------------------------------------------------------
@@ -106,74 +125,117 @@ def vectors(rows: DataFrame) -> DataFrame:
     )
 
 
-# ---- minimum covariance determinant, as SQL that both engines run ------------
+# ---- minimum covariance determinant ------------------------------------------
 
 _X = [f"x{i}" for i in range(1, DIM + 1)]
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
+_GROUP = ["_lang", "_source"]
+_ESTIMATE = [*(f"m{i}" for i in range(DIM)), *(f"l{i}{j}" for i, j in _PAIRS)]
 
 
-def _cholesky() -> list[str]:
-    """Layers of select items: the lower triangle l_ij of the covariance c_ij."""
-    out = []
+def with_distance(rows: DataFrame, e) -> DataFrame:
+    """Rows with _d2, the squared Mahalanobis distance of x1..x4; e gives an estimate's
+    columns: means m and the covariance's Cholesky factor l."""
+    for i in range(DIM):
+        y = F.col(_X[i]).cast("double") - e(f"m{i}")
+        for k in range(i):
+            y = y - e(f"l{i}{k}") * F.col(f"_y{k}")
+        rows = rows.withColumn(f"_y{i}", y / e(f"l{i}{i}"))
+    d2 = F.col("_y0") * F.col("_y0")
+    for i in range(1, DIM):
+        d2 = d2 + F.col(f"_y{i}") * F.col(f"_y{i}")
+    return rows.withColumn("_d2", d2).drop(*(f"_y{i}" for i in range(DIM)))
+
+
+def _sums(weight: str) -> list[Column]:
+    w = F.col(weight)
+    out = [F.sum(w).alias("w"), *(F.sum(w * F.col(x)).alias(f"s{i}") for i, x in enumerate(_X))]
+    return out + [F.sum(w * F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}{j}") for i, j in _PAIRS]
+
+
+def _fitted(sums: DataFrame) -> DataFrame:
+    """Means, factors and the factor's diagonal product from sums of whole numbers."""
+    d = lambda c: F.col(c).cast("double")
+    out = sums.withColumns({f"m{i}": d(f"s{i}") / d("w") for i in range(DIM)})
+    product = {(i, j): d(f"s{i}{j}") / d("w") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _PAIRS}
+    out = out.withColumns({f"c{i}{j}": F.greatest(c, F.lit(0.0)) + float(FLOORS[i] ** 2) if i == j else c for (i, j), c in product.items()})
     for j in range(DIM):
-        inner = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
-        out.append(f"sqrt(c{j}{j}{inner}) AS l{j}{j}")
-        if j + 1 < DIM:
-            out.append(", ".join(f"(c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, DIM)))
-    return out
-
-
-def _layered(source: str, layers: list[str]) -> str:
-    for layer in layers:
-        source = f"(SELECT *, {layer} FROM {source})"
-    return source
-
-
-def distance_sql(source: str) -> str:
-    """Rows of source (x, m, l) with the squared Mahalanobis distance d2."""
-    layers = [f"(CAST({_X[i]} AS DOUBLE) - m{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i}" for i in range(DIM)]
-    return _layered(source, [*layers, " + ".join(f"y{i} * y{i}" for i in range(DIM)) + " AS d2"])
-
-
-def estimates_sql(cells: str, steps: int = STEPS) -> str:
-    """SQL for the estimates from cells (_lang, _source, x1..x4, n): a row per group
-    that has LEAST_ROWS documents, and one, '*', for all."""
-    xs = ", ".join(_X)
-    columns = [*(f"m{i}" for i in range(DIM)), *(f"l{i}{j}" for i, j in _PAIRS)]
-    median = f"""SELECT _lang, _source, i, min(x) AS m FROM (
-      SELECT _lang, _source, i, x, sum(n) OVER (PARTITION BY _lang, _source, i ORDER BY x) AS upto, sum(n) OVER (PARTITION BY _lang, _source, i) AS whole
-      FROM ({" UNION ALL ".join(f"SELECT _lang, _source, {i} AS i, {x} AS x, n FROM cells" for i, x in enumerate(_X))}) AS long
-    ) AS summed WHERE 2 * upto >= whole GROUP BY _lang, _source, i"""
-    start = f"SELECT _lang, _source, {', '.join(f'CAST(max(CASE WHEN i = {i} THEN m END) AS DOUBLE) AS m{i}' for i in range(DIM))}, "
-    start += ", ".join(f"CAST({FLOORS[i] if i == j else 0} AS DOUBLE) AS l{i}{j}" for i, j in _PAIRS) + " FROM medians GROUP BY _lang, _source"
-    parts = [
-        f"small AS ({cells})",
-        f"sized AS (SELECT *, sum(n) OVER (PARTITION BY _lang, _source) AS group_rows FROM small)",
-        f"cells AS (SELECT _lang, _source, {xs}, CAST(n AS BIGINT) AS n FROM sized WHERE group_rows >= {LEAST_ROWS} UNION ALL SELECT '*', '*', {xs}, CAST(sum(n) AS BIGINT) FROM small GROUP BY {xs})",
-        f"medians AS ({median})",
-        f"e0 AS ({start})",
-    ]
-    for step in range(1, steps + 1):
-        near = distance_sql(f"(SELECT cells.*, {', '.join(columns)} FROM cells JOIN e{step - 1} AS e ON cells._lang = e._lang AND cells._source = e._source) AS joined")
-        taken = f"""SELECT *, least(n, h - before) AS w FROM (
-          SELECT *, sum(n) OVER (PARTITION BY _lang, _source ORDER BY d2, {xs}) - n AS before,
-            CAST(floor(({SHARE_NUMERATOR} * sum(n) OVER (PARTITION BY _lang, _source) + {SHARE_DENOMINATOR - 1}) / {SHARE_DENOMINATOR}.0) AS BIGINT) AS h
-          FROM {near} AS near) AS ranked WHERE before < h"""
-        sums = f"SELECT _lang, _source, CAST(CAST(sum(w) AS BIGINT) AS DOUBLE) AS w, "
-        sums += ", ".join(f"CAST(CAST(sum(w * {x}) AS BIGINT) AS DOUBLE) AS s{i}" for i, x in enumerate(_X)) + ", "
-        sums += ", ".join(f"CAST(CAST(sum(w * {_X[i]} * {_X[j]}) AS BIGINT) AS DOUBLE) AS s{i}{j}" for i, j in _PAIRS)
-        sums += f" FROM ({taken}) AS taken GROUP BY _lang, _source"
-        means = ", ".join(f"s{i} / w AS m{i}" for i in range(DIM))
-        covariances = ", ".join(f"greatest(s{i}{j} / w - m{i} * m{j}, 0.0) + {float(FLOORS[i] ** 2)} AS c{i}{j}" if i == j else f"s{i}{j} / w - m{i} * m{j} AS c{i}{j}" for i, j in _PAIRS)
-        parts.append(f"e{step} AS (SELECT _lang, _source, {', '.join(columns)} FROM {_layered(f'({sums}) AS sums', [means, covariances, *_cholesky()])} AS fitted)")
-    return f"WITH {', '.join(parts)} SELECT _lang, _source, {', '.join(columns)} FROM e{steps}"
+        for i in range(j, DIM):
+            c = F.col(f"c{i}{j}")
+            for k in range(j):
+                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            out = out.withColumn(f"l{i}{j}", F.sqrt(c) if i == j else c / F.col(f"l{j}{j}"))
+    return out.withColumn("determinant", F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33"))
+
+
+def _tallied_median(tally: DataFrame, value: str, name: str) -> DataFrame:
+    """The lower median per group and statistic, from a tally of values."""
+    whole = Window.partitionBy(*_GROUP, "i")
+    upto = tally.withColumns({"upto": F.sum("n").over(whole.orderBy(value)), "whole": F.sum("n").over(whole)})
+    return upto.where("2 * upto >= whole").groupBy(*_GROUP, "i").agg(F.min(value).alias(name))
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    tally = cells.select(*_GROUP, F.posexplode(F.array(*_X)).alias("i", "x"), "n").groupBy(*_GROUP, "i", "x").agg(F.sum("n").alias("n"))
+    medians = cut(_tallied_median(tally, "x", "m"), "quality-medians")
+    apart = tally.join(medians, [*_GROUP, "i"]).select(*_GROUP, "i", F.abs(F.col("x") - F.col("m")).alias("a"), "n").groupBy(*_GROUP, "i", "a").agg(F.sum("n").alias("n"))
+    both = medians.join(_tallied_median(apart, "a", "mad"), [*_GROUP, "i"])
+    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c))).cast("double")
+    wide = both.groupBy(*_GROUP).agg(*(at("m", i).alias(f"m{i}") for i in range(DIM)), *(at("mad", i).alias(f"mad{i}") for i in range(DIM)))
+    zero = F.lit(0.0)
+
+    def spherical(start: int, deviation) -> DataFrame:
+        factor = [(deviation(i) if i == j else zero).alias(f"l{i}{j}") for i, j in _PAIRS]
+        return wide.select(*_GROUP, F.lit(start).alias("start"), *(f"m{i}" for i in range(DIM)), *factor)
+
+    believed = spherical(0, lambda i: F.lit(float(FLOORS[i])))
+    spread = lambda i: F.lit(MAD_SCALE) * F.col(f"mad{i}")
+    scaled = spherical(1, lambda i: F.sqrt(spread(i) * spread(i) + float(FLOORS[i] ** 2)))
+    whole = _fitted(cells.groupBy(*_GROUP).agg(*_sums("n"))).select(*_GROUP, F.lit(2).alias("start"), *_ESTIMATE)
+    return cut(believed.union(scaled).union(whole), "quality-estimates")
+
+
+def _concentrated(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """Sums over the H documents of each group that are nearest to each estimate."""
+    key = [*_GROUP, "start"]
+    salted = cells.withColumn("salt", F.pmod(F.xxhash64(*_X), F.lit(SALTS)))
+
+    def near(estimates: DataFrame, *more: str) -> DataFrame:
+        spread = estimates.select(*key, *_ESTIMATE, *more, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+        parts = with_distance(salted.join(spread, [*_GROUP, "salt"]), F.col).withColumn("q", F.floor(F.col("_d2") * DISTANCE_PARTS + 0.5).cast("bigint"))
+        return parts.select(*key, *_X, "n", "salt", "q", F.floor(F.log2(F.col("q").cast("double") + 1) * BINS).cast("int").alias("bin"), *more)
+
+    whole = Window.partitionBy(*key)
+    tally = near(found).groupBy(*key, "bin").agg(F.sum("n").alias("n"))
+    tally = tally.withColumns({"upto": F.sum("n").over(whole.orderBy("bin")), "whole": F.sum("n").over(whole)})
+    h = F.expr(f"({SHARE_NUMERATOR} * whole + {SHARE_DENOMINATOR - 1}) div {SHARE_DENOMINATOR}")
+    edges = tally.withColumn("h", h).where("upto >= h and upto - n < h").select(*key, F.col("bin").alias("edge"), (F.col("h") - F.col("upto") + F.col("n")).alias("room"))
+    inside = near(found.join(edges, key), "edge", "room").where("bin <= edge").withColumn("part", F.when(F.col("bin") < F.col("edge"), F.col("salt")).otherwise(-1))
+    before = F.sum("n").over(Window.partitionBy(*key, "part").orderBy("q", *_X)) - F.col("n")
+    taken = inside.withColumn("taken", F.when(F.col("bin") < F.col("edge"), F.col("n")).otherwise(F.least(F.col("n"), F.col("room") - before))).where("taken > 0")
+    return taken.groupBy(*key).agg(*_sums("taken"))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Estimates from rows with keys and vectors. Cells are tallied before any shuffle."""
+    """Estimates from rows with keys and vectors: a row per group that has LEAST_ROWS
+    documents, and one, '*', for all. Cells are tallied before any shuffle."""
     good = rows.where(~base_failed(F.col("_q.n_words"), F.col("_q.n_repeat_words")))
-    cells = cut(good.groupBy("_lang", "_source", *_X).agg(F.count(F.lit(1)).alias("n")), "quality-cells")
-    return cut(rows.sparkSession.sql(estimates_sql("SELECT * FROM {cells}"), cells=cells), "quality-estimates")
+    own = cut(good.groupBy(*_GROUP, *_X).agg(F.count(F.lit(1)).alias("n")), "quality-cells")
+    pooled = own.groupBy(*_X).agg(F.sum("n").alias("n")).select(F.lit("*").alias("_lang"), F.lit("*").alias("_source"), *_X, "n")
+    cells = cut(own.unionByName(pooled), "quality-groups")
+    found, before = _starts(cells), None
+    for _ in range(MOST_STEPS):
+        seen = Observation()  # tells whether a group changed, without a job of its own
+        marks = F.xxhash64(*_GROUP, "start", "w", *(f"s{i}" for i in range(DIM)), *(f"s{i}{j}" for i, j in _PAIRS))
+        sums = _concentrated(cells, found).observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(marks).alias("a"))
+        found = cut(_fitted(sums).select(*_GROUP, "start", *_ESTIMATE, "determinant"), "quality-estimates")
+        if seen.get == before:
+            break
+        before = seen.get
+    rest = [c for c in _ESTIMATE]
+    best = found.groupBy(*_GROUP).agg(F.min(F.struct("determinant", "start", *rest)).alias("best")).select(*_GROUP, *(F.col(f"best.{c}").alias(c) for c in rest))
+    many = own.groupBy(*_GROUP).agg(F.sum("n").alias("rows")).where(F.col("rows") >= LEAST_ROWS).select(*_GROUP)
+    return cut(best.join(many, _GROUP, "left_semi").union(best.where("_lang = '*'")), "quality-best")
 
 
 def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -184,20 +246,9 @@ def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
     everyone = F.broadcast(found.where("_lang = '*'").select(F.struct(*values).alias("_all")))  # one row
     one = rows.withColumn("_one", F.lit(1)).join(everyone.withColumn("_one", F.lit(1)), "_one", "left")
     joined = one.join(own, (F.col("_lang") == F.col("_el")) & (F.col("_source") == F.col("_es")), "left").withColumn("_e", F.coalesce("_own", "_all"))
-    e = lambda c: F.col(f"_e.{c}")
-    ys: list[str] = []
-    out = joined
-    for i in range(DIM):
-        y = F.col(_X[i]).cast("double") - e(f"m{i}")
-        for k in range(i):
-            y = y - e(f"l{i}{k}") * F.col(ys[k])
-        out = out.withColumn(f"_y{i}", y / e(f"l{i}{i}"))
-        ys.append(f"_y{i}")
-    d2 = F.col("_y0") * F.col("_y0")
-    for name in ys[1:]:
-        d2 = d2 + F.col(name) * F.col(name)
+    out = with_distance(joined, lambda c: F.col(f"_e.{c}"))
     failed = base_failed(F.col("_q.n_words"), F.col("_q.n_repeat_words"))
-    return out.withColumns({"_d2": d2, "_failed": failed}).withColumn("_kept", ~F.col("_failed") & (F.coalesce("_d2", F.lit(0.0)) <= CUTOFF))
+    return out.withColumn("_failed", failed).withColumn("_kept", ~F.col("_failed") & (F.coalesce("_d2", F.lit(0.0)) <= CUTOFF))
 
 
 def report(docs: DataFrame) -> DataFrame:
