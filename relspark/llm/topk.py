@@ -196,38 +196,47 @@ def search_cell(blocks: list[dict], queries: tuple[np.ndarray, np.ndarray], pivo
     else:
         bounds[:] = np.inf
     slack = _slack(largest)
-    order = np.argsort(-bounds, 1, kind="stable")
     lowest = -np.inf if exact else np.iinfo(np.int64).min + 1  # can be negated
     best_score = np.full((len(q), k), lowest, kind)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
-    filled = np.zeros(len(q), np.int64)
-    alive = np.arange(len(q))
-    for step in range(len(work)):
-        threshold = np.maximum(floor_score[alive], np.where(filled[alive] >= k, best_score[alive, k - 1], -np.inf))
-        alive = alive[bounds[alive, order[alive, step]] >= threshold - slack]
-        if not len(alive):
+    filled = np.zeros(len(q), bool)
+
+    def visit(j: int, mine: np.ndarray) -> None:
+        _, ids, vectors = work[j]
+        scores = q[mine].astype(kind) @ vectors.T.astype(kind)
+        own = ids[None] == query_ids[mine, None]
+        take = min(k, len(ids))
+        scores[own] = lowest
+        kth = np.partition(scores, len(ids) - take, 1)[:, len(ids) - take]
+        # What doesn't reach the k-th score so far is no answer.
+        least = np.where(filled[mine], np.maximum(kth, best_score[mine, k - 1]), kth)
+        row, col = np.nonzero((scores >= least[:, None]) & ~own)
+        # Blocks are sorted by id, so the first k of equal scores are the right ones.
+        rank = np.lexsort((ids[col], -scores[row, col], row))
+        row, col = row[rank], col[rank]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, place = row[place < k], col[place < k], place[place < k]
+        changed, at = np.unique(row, return_inverse=True)
+        mine = mine[changed]
+        new_score = np.full((len(mine), k), lowest, kind)
+        new_id = np.full((len(mine), k), np.iinfo(np.int64).max, np.int64)
+        new_score[at, place], new_id[at, place] = scores[row, col], ids[col]
+        both_score, both_id = np.concatenate([best_score[mine], new_score], 1), np.concatenate([best_id[mine], new_id], 1)
+        rank = np.lexsort((both_id, -both_score), axis=1)[:, :k]
+        best_score[mine], best_id[mine] = np.take_along_axis(both_score, rank, 1), np.take_along_axis(both_id, rank, 1)
+        filled[mine] = best_id[mine, k - 1] != np.iinfo(np.int64).max
+
+    # Each query its own best annulus, then all queries together the others, best first.
+    best = bounds.argmax(1)
+    for j in np.unique(best):
+        visit(j, np.flatnonzero((best == j) & (bounds[:, j] >= floor_score - slack)))
+    for j in np.argsort(-bounds.max(0), kind="stable"):
+        threshold = np.maximum(floor_score, np.where(filled, best_score[:, k - 1], -np.inf)) - slack
+        if bounds[:, j].max() < threshold.min():
             break
-        for j in np.unique(order[alive, step]):
-            _, ids, vectors = work[j]
-            mine = alive[order[alive, step] == j]
-            scores = q[mine].astype(kind) @ vectors.T.astype(kind)
-            own = ids[None] == query_ids[mine, None]
-            take = min(k, len(ids))
-            scores[own] = lowest
-            kth = np.partition(scores, len(ids) - take, 1)[:, len(ids) - take]
-            row, col = np.nonzero((scores >= kth[:, None]) & ~own)
-            # Blocks are sorted by id, so the first k of equal scores are the right ones.
-            rank = np.lexsort((ids[col], -scores[row, col], row))
-            row, col = row[rank], col[rank]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col, place = row[place < k], col[place < k], place[place < k]
-            new_score = np.full((len(mine), k), lowest, kind)
-            new_id = np.full((len(mine), k), np.iinfo(np.int64).max, np.int64)
-            new_score[row, place], new_id[row, place] = scores[row, col], ids[col]
-            both_score, both_id = np.concatenate([best_score[mine], new_score], 1), np.concatenate([best_id[mine], new_id], 1)
-            rank = np.lexsort((both_id, -both_score), axis=1)[:, :k]
-            best_score[mine], best_id[mine] = np.take_along_axis(both_score, rank, 1), np.take_along_axis(both_id, rank, 1)
-            filled[mine] = (best_id[mine] != np.iinfo(np.int64).max).sum(1)
+        mine = np.flatnonzero((bounds[:, j] >= threshold) & (best != j))
+        if len(mine):
+            visit(j, mine)
     row, col = np.nonzero(best_id != np.iinfo(np.int64).max)
     return query_ids[row], best_id[row, col], best_score[row, col].astype(np.int64)
 
