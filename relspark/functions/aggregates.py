@@ -19,11 +19,11 @@ def aggregate(name: str, argument: Typed | None) -> Typed:
     (summed in 64 bits); averages are FLOAT, of outside DOUBLE columns DOUBLE."""
     name = name.upper()
     if name not in AGGREGATES:
-        raise TypeMismatch(f"Unknown aggregate function: {name}")
+        raise TypeMismatch(f"No such aggregate: {name}")
     if name == "COUNT":
         return Typed(F.count(F.lit(1) if argument is None else argument.column), BIGINT)
     if argument is None:
-        raise TypeMismatch("Aggregate requires one argument")
+        raise TypeMismatch("An aggregate takes one argument")
     if name in ("MIN", "MAX"):
         return Typed((F.min if name == "MIN" else F.max)(argument.column), argument.kind, argument.length)
     if argument.kind not in NUMBERS:

@@ -62,7 +62,7 @@ def arithmetic(symbol: str, a: Typed, b: Typed) -> Typed:
     if symbol == "||":
         return concat(a, b)
     if a.kind not in NUMBERS or b.kind not in NUMBERS:
-        raise TypeMismatch(f"Unsupported binary operand types: {a.kind}, {b.kind}")
+        raise TypeMismatch(f"Arithmetic wants numbers, not {a.kind} and {b.kind}")
     kind = wider(a.kind, b.kind)
     left, right = a.to(kind), b.to(kind)
     value = _divided(left, right, kind) if symbol == "/" else _ARITHMETIC[symbol](left, right)

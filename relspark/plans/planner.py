@@ -39,6 +39,6 @@ def plan_select(query: BoundSelect, scan: Callable[[str], DataFrame], strategy:
         return ops.project(df, [(F.col(f"`{one.internal(c)}`"), c.name) for c in one.schema.columns])
     if query.groups is None:
         return ops.project(df, [(o.value.column, o.name) for o in query.outputs])
-    # A value that its group determines is that of any row of the group.
-    items = [(F.first(o.value.column) if o.constant_in_group else o.value.column, o.name) for o in query.outputs]
+    # A value that its group determines is the key itself, or that of any row of the group.
+    items = [(o.key if o.key is not None else F.first(o.value.column) if o.constant_in_group else o.value.column, o.name) for o in query.outputs]
     return ops.aggregate(df, [g.column for g in query.groups], items)

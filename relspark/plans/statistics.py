@@ -23,6 +23,16 @@ class TableStatistics:
     columns: dict[str, ColumnStatistics]
 
 
+def to_json(found: TableStatistics) -> dict:
+    """For the catalog's log; columns whose bounds JSON can't hold keep their counts."""
+    plain = lambda v: v if isinstance(v, int | float | str | None) else None
+    return {"rows": found.rows, "columns": {n: [c.distinct, plain(c.least), plain(c.most)] for n, c in found.columns.items()}}
+
+
+def from_json(stored: dict) -> TableStatistics:
+    return TableStatistics(stored["rows"], {n: ColumnStatistics(*c) for n, c in stored["columns"].items()})
+
+
 def statistics(df: DataFrame) -> TableStatistics:
     names = [n for n, kind in df.dtypes if kind in _ORDERED]
     items = [F.count(F.lit(1))]

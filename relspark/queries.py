@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.engine import Engine
+from relspark.errors import BindError
 from relspark.functions import scalar
 from relspark.functions.scalar import Typed
 from relspark.operators import project
@@ -25,6 +26,17 @@ def engine_on(spark: SparkSession, sf_dir: str, data_dir: str | None = None) ->
     return engine
 
 
+_SHARED: dict[tuple[str, str], Engine] = {}
+
+
+def shared_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """One engine for all queries that only read, so that files are looked at once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHARED:
+        _SHARED[key] = engine_on(spark, sf_dir)
+    return _SHARED[key]
+
+
 @dataclass(frozen=True)
 class Query:
     """A SELECT of the dialect. oracle None: the same text is valid for DuckDB."""
@@ -34,7 +46,7 @@ class Query:
     strategy: str | None = None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return engine_on(spark, sf_dir).sql(self.text, self.strategy)
+        return shared_engine(spark, sf_dir).sql(self.text, self.strategy)
 
 
 _CUSTOMER_ORDERS = "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice FROM customer c, orders o WHERE c.c_custkey = o.o_custkey"
@@ -54,6 +66,7 @@ SELECTS: dict[str, Query] = {
     "filter_arithmetic": Query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_linenumber + 10) * 2 > 30 AND l_quantity <= 3"),
     "filter_boolean_literal": Query("SELECT r_name FROM region WHERE TRUE"),
     # projection
+    "comments": Query("-- all of them\nSELECT r_name -- the name\nFROM region;"),
     "project_columns_alias": Query("SELECT c_custkey AS id, c_name label FROM customer"),
     "project_arith_bigint": Query(
         "SELECT l_orderkey, l_linenumber + 100 AS more, l_linenumber * 2, l_orderkey - l_linenumber FROM lineitem",
@@ -192,6 +205,58 @@ def project_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(nation, [(joined.column, "label")])
 
 
+def _people(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[str]]:
+    engine = engine_on(spark, sf_dir)
+    engine.catalog.create_table("people", Schema.of(("id", "INT"), ("name", "STRING")))
+    return engine, engine.table("people").insert((1, "a"), (2, "b"), (3, "c"))
+
+
+def point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, ids = _people(spark, sf_dir)
+    table = engine.table("people")
+    return spark.createDataFrame([tuple(table.read(ids[1]))], table.schema.to_spark())
+
+
+def tuple_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _people(spark, sf_dir)[0].table("people")
+    return spark.createDataFrame([tuple(r) for r in table.tuples()], table.schema.to_spark())
+
+
+def validate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_engine(spark, sf_dir).validate("SELECT n_nationkey + 1 AS next, n_name, n_nationkey > 3 AS many FROM nation")
+    return spark.createDataFrame(found, "name string, kind string")
+
+
+def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, and stored anew after the table has changed."""
+    engine, _ = _people(spark, sf_dir)
+    first = engine.statistics("people")
+    engine.table("people").insert((9, "z"))
+    out = [(f.rows, f.columns["id"].least, f.columns["id"].most, f.columns["name"].most) for f in (first, engine.statistics("people"), Engine(spark, engine.catalog.data_dir).statistics("people"))]
+    return spark.createDataFrame(out, "rows long, least int, most int, last string")
+
+
+def _refused(*texts: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Which statements are refused when bound, and where."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = []
+        for text in texts:
+            try:
+                shared_engine(spark, sf_dir).sql(text)
+                out.append((text, False, None))
+            except BindError as e:
+                out.append((text, True, e.position.column))
+        return spark.createDataFrame(out, "statement string, refused boolean, error_column int")
+
+    return run
+
+
+def _refusals(*cases: tuple[str, int]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    rows = ", ".join("('{}', TRUE, CAST({} AS INTEGER))".format(text.replace("'", "''"), at) for text, at in cases)
+    return _refused(*(text for text, _ in cases)), f"SELECT * FROM (VALUES {rows}) t(statement, refused, error_column)"
+
+
 WRITERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "insert_roundtrip": (
         insert_roundtrip,
@@ -205,6 +270,14 @@ WRITERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ddl_create_drop": (ddl_create_drop, "SELECT 'kept' AS table_name"),
     "row_update_delete": (row_update_delete, "SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'a'), (2, 'changed')) t(id, name)"),
     "append_table": (append_table, "SELECT n_name, n_regionkey FROM nation"),
+    "point_read": (point_read, "SELECT CAST(2 AS INTEGER) AS id, 'b' AS name"),
+    "tuple_scan": (tuple_scan, "SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'a'), (2, 'b'), (3, 'c')) t(id, name)"),
+    "validate_types": (validate_types, "SELECT * FROM (VALUES ('next', 'BIGINT'), ('n_name', 'STRING'), ('many', 'BOOLEAN')) t(name, kind)"),
+    "table_statistics": (table_statistics, "SELECT * FROM (VALUES (CAST(3 AS BIGINT), CAST(1 AS INTEGER), CAST(3 AS INTEGER), 'c'), (4, 1, 9, 'z'), (4, 1, 9, 'z')) t(rows, least, most, last)"),
+    "error_group_alias": _refusals(("SELECT n_regionkey AS r, COUNT(*) FROM nation GROUP BY r", 56)),
+    "error_aggregate_place": _refusals(("SELECT n_name FROM nation WHERE COUNT(*) > 1", 33), ("SELECT COUNT(*) FROM nation GROUP BY SUM(n_regionkey)", 38)),
+    "error_aggregate_in_expression": _refusals(("SELECT SUM(n_regionkey) + 1 FROM nation", 8), ("SELECT MEDIAN(n_regionkey) FROM nation", 8)),
+    "error_aggregate_arguments": _refusals(("SELECT SUM(*) FROM nation", 8), ("SELECT MIN(n_name, n_regionkey) FROM nation", 8)),
     "project_concat": (project_concat, "SELECT n_name || CAST(n_nationkey AS VARCHAR) AS label FROM nation"),
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,8 +28,15 @@ class Store:
             stream.close()
 
     def create(self, name: str, text: str) -> None:
-        """Writes a new file; fails if there is one, so that two writers can't both win."""
-        stream = self.fs.create(self.path(name), False)
+        """Writes a new file; fails with FileExistsError if there is one, so that two writers
+        can't both win. The store must make files exclusively, as HDFS and local disks do;
+        plain object stores promise no such thing."""
+        try:
+            stream = self.fs.create(self.path(name), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.toString():
+                raise FileExistsError(name) from None
+            raise
         try:
             stream.write(bytearray(text.encode()))
         finally:

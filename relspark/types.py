@@ -56,9 +56,9 @@ class Column:
         if not self.name:
             raise CatalogError("a column needs a name")
         if self.kind == VARCHAR and not (self.length and self.length > 0):
-            raise CatalogError(f"VARCHAR requires positive length: {self.name}")
+            raise CatalogError(f"a VARCHAR is one unit long at least: {self.name}")
         if self.kind != VARCHAR and self.length is not None:
-            raise CatalogError(f"Length not allowed for type {self.kind}: {self.name}")
+            raise CatalogError(f"{self.kind} has no length: {self.name}")
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from relspark import CatalogError, Column, Engine, Schema
+from relspark import BindError, CatalogError, Column, Engine, Schema
 from relspark.streaming import feed, follow
 
 PEOPLE = Schema.of(("id", "INT"), ("name", "VARCHAR", 5))
@@ -35,6 +35,72 @@ def test_two_writers_cannot_both_log(spark, tmp_path):
         b.catalog.create_table("t", PEOPLE)
 
 
+def test_appends_and_updates_of_two_writers_all_count(spark, tmp_path):
+    a = Engine(spark, str(tmp_path))
+    a.catalog.create_table("t", PEOPLE)
+    first, _ = a.table("t").insert((1, "a"), (2, "b"))
+    b = Engine(spark, str(tmp_path))
+    a.table("t").update(first, (1, "A"))
+    b.sql("INSERT INTO t VALUES (3, 'c')")
+    a.sql("INSERT INTO t VALUES (4, 'd')")
+    for e in (a, b, Engine(spark, str(tmp_path))):
+        assert sorted(map(tuple, e.sql("SELECT * FROM t").collect())) == [(1, "A"), (2, "b"), (3, "c"), (4, "d")]
+    b.sql("DROP TABLE t")
+    with pytest.raises(BindError):
+        a.sql("SELECT * FROM t")
+
+
+def test_an_update_that_others_overtake_is_an_error(spark, tmp_path, monkeypatch):
+    """The append that comes between reading and logging stays, the update doesn't count."""
+    a, b = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    a.catalog.create_table("t", PEOPLE)
+    (row,) = a.table("t").insert((1, "a"))
+    table = a.table("t")
+    original = table._rewrite
+
+    def overtaken(before, df):
+        b.table("t").insert((2, "b"))
+        original(before, df)
+
+    monkeypatch.setattr(table, "_rewrite", overtaken)
+    for change in (lambda: table.update(row, (1, "x")), lambda: table.delete(row)):
+        with pytest.raises(CatalogError, match="another writer"):
+            change()
+    assert sorted(map(tuple, a.table("t").scan().collect())) == [(1, "a"), (2, "b"), (2, "b")]
+
+
+def test_an_unfinished_append_does_not_count(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path))
+    e.catalog.create_table("t", PEOPLE)
+    monkeypatch.setattr(e.catalog, "log_append", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        e.table("t").insert((1, "a"))
+    assert Engine(spark, str(tmp_path)).table("t").scan().count() == 0
+
+
+def test_named_batches_count_once(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.catalog.create_table("t", PEOPLE)
+    rows = spark.createDataFrame([("ok", 1)], "name string, id long")
+    for handle in (e, e, Engine(spark, str(tmp_path))):
+        handle.table("t").append(rows, "first")
+    e.table("t").append(rows, "second")
+    assert e.table("t").scan().count() == 2
+
+
+def test_statistics_are_stored_until_rows_change(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path))
+    e.catalog.create_table("t", PEOPLE)
+    e.table("t").insert((1, "a"), (5, "b"))
+    found = e.statistics("t")
+    again = Engine(spark, str(tmp_path))
+    with monkeypatch.context() as m:
+        m.setattr(again.catalog, "scan", None)
+        assert again.statistics("t") == found
+    again.table("t").insert((7, "c"))
+    assert (e.statistics("t").rows, e.statistics("t").columns["id"].most) == (3, 7)
+
+
 def test_rows_by_id(engine):
     engine.catalog.create_table("t", PEOPLE)
     t = engine.table("t")

@@ -34,3 +34,25 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_optional_operators(monkeypatch):
+    """A missing library of theirs leaves the engine's queries."""
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    original = builtins.__import__
+
+    def blocked(name, *rest):
+        if name.split(".")[0] in ("tiktoken", "public_tokenizers"):
+            raise ModuleNotFoundError(name)
+        return original(name, *rest)
+
+    for name in list(sys.modules):
+        if name.startswith("relspark.llm") or name == "corpus_pipeline":
+            monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", blocked)
+    assert set(entry.queries()) == set(queries())
+    assert set(entry.oracle_sql()) == set(oracle_sql())
