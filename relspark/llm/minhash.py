@@ -23,7 +23,7 @@ Shingles are represented by 64-bit hashes, so full sets are compared up to
 collisions (below 1e-12 for a million shingles). Texts without words, null texts
 and empty ones are linked with nothing. Rows without an id take no part and have
 a null component. Repeated rows fall into one class; each is returned. Rows that
-share an id but not the text are one node, with any of their texts. Other columns
+share an id but not the text are one node, with any one of their texts. Other columns
 are ignored, empty tables give empty results.
 """
 
@@ -270,9 +270,10 @@ def confirmed(texts: DataFrame, sizes: DataFrame, clusters: DataFrame, width: in
     sized = members.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
     placed = sized.join(sized.groupBy("cluster").agg(_parts().alias("chunks")), "cluster")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    bitmap = id_filter(placed.select(F.col("rep").alias("id")))
-    # Most texts need no shuffle: they belong to no cluster.
-    held = cut(maybe_in(texts, bitmap).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "n", "cluster", "chunks", "chunk", "text"), "clustered")
+    bitmap = id_filter(members.select(F.col("node").alias("id")))
+    # Most texts need no shuffle: they belong to no cluster. Repeated rows of an id go once.
+    some = maybe_in(texts, bitmap).join(placed, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
+    held = cut(some.select("rep", "n", "cluster", "chunks", "chunk", "text"), "clustered")
 
     def linked(rows: DataFrame) -> DataFrame:
         return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_confirm(width), "node long, component long"), "links")

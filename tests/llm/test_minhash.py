@@ -151,3 +151,23 @@ def test_the_stage_links_by_five_words(spark, documents, monkeypatch):
     assert two != five
     found = corpus_pipeline.near_duplicates_stage(spark, documents(rows), "").collect()
     assert sorted(r.doc_id for r in found) == sorted(set(five.values()))
+
+
+def test_repeated_rows_of_one_id_are_confirmed_once(documents, monkeypatch):
+    """Cells stay within CHUNK sets, whatever the rows of an id."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(words))] * 300 + [(9, " ".join([*words[:-1], "other"]))]
+    sizes = []
+    original = minhash.cut
+
+    def spy(df, label):
+        out = original(df, label)
+        if label == "clustered":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "cut", spy)
+    found = minhash.classes(documents(rows)).collect()
+    assert sizes == [2]
+    assert {(r.doc_id, r.component_id) for r in found} == {(7, 7), (9, 7)}
+    assert len(found) == 301
