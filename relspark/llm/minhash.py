@@ -23,8 +23,9 @@ Shingles are represented by 64-bit hashes, so full sets are compared up to
 collisions (below 1e-12 for a million shingles). Texts without words, null texts
 and empty ones are linked with nothing. Rows without an id take no part and have
 a null component. Repeated rows fall into one class; each is returned. Rows that
-share an id but not the text are one node, with any one of their texts. Other columns
-are ignored, empty tables give empty results.
+share an id but not the text are one node, with any one of their texts (in `classes`, whose ids
+are its contract; `deduplicate` tells them apart). Other columns are ignored, empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -347,18 +348,43 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     )
 
 
+#: Further texts of an id get numbers from here on.
+FURTHER = 1 << 62
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs as _doc, with doc_id and text; of an id that stands for several texts, all but one
+    text (that of the smallest hash) get numbers of their own, by id and text. Only rows whose id may be such
+    a one are shuffled."""
+    text = F.col("text").cast("string")
+    mark = F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), mark.alias("_mark"))
+    marks = cut(packed.where("doc_id is not null").select("doc_id", "_mark").distinct(), "marks")
+    several = marks.groupBy("doc_id").agg(F.min("_mark").alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id", "first")
+    number = F.xxhash64("doc_id", "_mark").bitwiseAND(F.lit(FURTHER - 1)) + F.lit(FURTHER)
+    further = cut(marks.join(several, "doc_id").where(F.col("_mark") != F.col("first")).select("doc_id", "_mark", number.alias("_number")), "further")
+    if further.isEmpty():
+        return packed.drop("_mark")
+    clashing = id_filter(further.select(F.col("doc_id").alias("id")))
+    # A row without an id is hashed like any other, so it is in one of the two parts.
+    numbered = maybe_in(packed, clashing).join(further, ["doc_id", "_mark"], "left").select("_doc", F.coalesce("_number", "doc_id").alias("doc_id"), "text")
+    return maybe_in(packed, clashing, member=False).drop("_mark").union(numbered)
+
+
 def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row of docs for each class: the smallest id's. Same columns. Shingles are of
     five words, which fewer changed words tell apart than the two of `classes`. Rows without an
-    id are linked with nothing and stay. Of repeated rows, one stays. Only documents that
+    id are linked with nothing and stay. Of rows that share id and text, one stays; different texts of one
+    id are documents of their own, and all but one of them count as larger than any id. Only documents that
     go, or whose id is repeated, are shuffled with their texts."""
-    found = cut(classes(docs, width), "classes")
+    packed = _told_apart(docs)
+    found = cut(classes(packed.select("doc_id", "text"), width), "classes")
+    packed = packed.select("_doc", "doc_id")
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     touched = cut(gone.withColumn("_gone", F.lit(True)).unionByName(repeated.withColumn("_gone", F.lit(False))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("_gone").alias("_gone")), "touched")
     bitmap = id_filter(touched.select(F.col("_id").alias("id")))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
     untouched = maybe_in(packed, bitmap, member=False)
     joined = maybe_in(packed, bitmap).join(touched, F.col("doc_id") == F.col("_id"), "left").where("_gone is null or not _gone")
-    once = joined.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("_doc.text").cast("binary"))))).where("_gone is null or _n = 1")
+    once = joined.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("_doc").cast("string").cast("binary"))))).where("_gone is null or _n = 1")
     return untouched.select("_doc").union(once.select("_doc")).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))

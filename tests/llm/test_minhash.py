@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -171,3 +172,16 @@ def test_repeated_rows_of_one_id_are_confirmed_once(documents, monkeypatch):
     assert sizes == [2]
     assert {(r.doc_id, r.component_id) for r in found} == {(7, 7), (9, 7)}
     assert len(found) == 301
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(documents):
+    """Only rows that are copies of others go, whatever their ids."""
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, b + " tail"), (3, c), (3, ""), (3, None), (3, None), (None, c), (None, d), (4, c), (4, d)]
+    found = sorted((r.doc_id or 0, "-" if r.text is None else r.text) for r in minhash.deduplicate(documents(rows)).collect())
+    kept = Counter(t.removesuffix(" tail") for _, t in found)
+    # Rows without an id stay; of c, one with an id stays; of b, one of the near copies.
+    assert kept == {a: 1, b: 1, c: 2, d: 2, "": 1, "-": 1}
+    again = sorted((r.doc_id or 0, "-" if r.text is None else r.text) for r in minhash.deduplicate(documents(rows[::-1]).repartition(5)).collect())
+    assert again == found
