@@ -12,8 +12,8 @@ by hash, and only sums per block are ordered within a source: a source that hold
 third of all rows is BLOCK_ROWS times smaller there. Within the one block where a
 budget ends, its documents are permuted. Everything is made of DataFrame functions.
 
-Sources number far fewer than documents; their totals meet in one array for the
-bisection, a row per source. Null sources are a source of their own; null texts have no
+Sources may be many, hosts say: their totals stay a table, and only sums over all of
+them, at the exponents that a pass tries, come to the driver. Null sources are a source of their own; null texts have no
 tokens, as have empty ones: such documents are emitted once per whole pass. Repeated
 rows are documents of their own. Empty tables give empty results. In `mix`, all
 columns pass through, whatever their names.
@@ -21,15 +21,20 @@ columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from relspark.llm.common import cut, words_of
 
 BLOCK_ROWS = 1024
-#: The exponent is found to 1 / GRID.
+#: The exponent is found to 1 / GRID, which takes so many bisections.
 GRID = 1 << 20
 BISECTIONS = 20
+#: Parts that a pass over the sources cuts a bracket into: five bisections.
+PARTS = 32
 PPM = 1_000_000
 #: Share of the largest possible entropy, and passes over a source, to aim for.
 TARGET_ENTROPY = 0.97
@@ -54,67 +59,71 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def _exponent(live: DataFrame, every: int, target_entropy: float, allowed: float, cover: bool) -> Row:
+    """The exponent, in 1 / GRID, and of the weights that it gives their sum and the
+    smallest per token. live: p, tokens; every: how many sources.
+
+    Both tests hold on one side of some exponent only. Five bisections of both brackets
+    go together: sums at all points where they could look are made in one pass over the
+    sources, and a row for each point comes to the driver."""
+    wanted = target_entropy * math.log(every) - 1e-9
+    e = F.col("e") / F.lit(float(GRID))
+    power, rate = F.pow("p", e), F.pow("p", e - 1.0)
+    z = F.sum("w")
+    repeats = F.max("r") / F.min("r") if cover else F.max("r") / z
+    tests = [(F.log(z) - F.sum(F.col("w") * F.log("w")) / z >= wanted).alias("even"), (repeats <= allowed).alias("fits")]
+    seen: dict[int, Row] = {}
+    flat, fit = (0, GRID), (0, GRID)  # even at the lower end of one, fitting at the upper end of the other
+    while True:
+        points = sorted({low + (high - low) * k // PARTS for low, high in (flat, fit) for k in range(PARTS + 1)} - set(seen))
+        if not points:
+            break
+        at = live.select("p", "tokens", F.explode(F.array(*map(F.lit, points))).alias("e")).select("e", "tokens", power.alias("w"), rate.alias("r"))
+        found = at.groupBy("e").agg(z.alias("z"), F.min(F.col("w") / F.col("tokens")).alias("least"), *tests)
+        seen |= {x.e: x for x in found.collect()}
+        flat = _bracket(flat, seen, lambda x: x.even)
+        fit = _bracket(fit, seen, lambda x: not x.fits)
+    even = GRID if seen[GRID].even else flat[0]
+    return seen[max(even, 0 if seen[0].fits else fit[1])]
+
+
+def _bracket(bracket: tuple[int, int], seen: dict[int, Row], below: Callable[[Row], bool]) -> tuple[int, int]:
+    """The part of a bracket in which a test that holds at its lower end fails first."""
+    inside = sorted(e for e in seen if bracket[0] < e < bracket[1])
+    low, high = bracket
+    for e in inside:
+        if not below(seen[e]):
+            return low, e
+        low = e
+    return low, high
+
+
 def weights(totals: DataFrame, target_entropy: float, max_repeats: float, cover: bool) -> DataFrame:
     """source, rows, tokens, exponent (in 1 / GRID), weight and budget (tokens).
 
     totals: source, rows, tokens. With cover, the budget is scaled until every source
     is passed once at least, and made of weights that aren't rounded; else it is the
     weight in millionths of the number of tokens that there are."""
-    gathered = totals.agg(F.array_sort(F.collect_list(F.struct("source", "rows", "tokens"))).alias("s"), F.sum("tokens").alias("all"))
-    p = lambda x: x["tokens"].cast("double") / F.col("all")
-    live = F.filter("s", lambda x: x["tokens"] > 0)
-
-    def powered(e: Column) -> Column:
-        return F.transform(live, lambda x: F.pow(p(x), e / F.lit(float(GRID))))
-
-    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda a, w: a + w)
-
-    def entropy(e: Column) -> Column:
-        """-sum w ln w of the normalised weights, from sums of the powers."""
-        z = total(powered(e))
-        return F.log(z) - total(F.transform(powered(e), lambda w: w * F.log(w))) / z
-
-    def repeats(e: Column) -> Column:
-        """The most passes over a source: p^(e - 1), against the budget's scale."""
-        rates = F.transform(live, lambda x: F.pow(p(x), e / F.lit(float(GRID)) - 1.0))
-        return F.array_max(rates) / F.array_min(rates) if cover else F.array_max(rates) / total(powered(e))
-
-    def bisect(good_at_low, low: Column, high: Column) -> Column:
-        """Between low, where the test holds, and high, where it doesn't."""
-        state = F.struct(low.alias("low"), high.alias("high"))
-
-        def step(s: Column, _: Column) -> Column:
-            middle = F.floor((s["low"] + s["high"]) / 2).cast("bigint")
-            good = good_at_low(middle)
-            return F.struct(F.when(good, middle).otherwise(s["low"]).alias("low"), F.when(good, s["high"]).otherwise(middle).alias("high"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), state, step)
-
-    zero, one = F.lit(0).cast("bigint"), F.lit(GRID).cast("bigint")
-    wanted = F.lit(target_entropy) * F.log(F.greatest(F.size(live), F.lit(1)).cast("double")) - 1e-9
-    flat = gathered.withColumn("e", F.when(entropy(one) >= wanted, one).otherwise(bisect(lambda m: entropy(m) >= wanted, zero, one)["low"]))
-    allowed = F.lit(max_repeats) + 1e-9
-    held = flat.withColumn("e", F.when(repeats(F.col("e")) <= allowed, F.col("e")).otherwise(bisect(lambda m: repeats(m) > allowed, F.col("e"), one)["high"]))
+    live = totals.where("tokens > 0")
+    whole, every = live.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    tokens = F.col("tokens").cast("double")
+    if every:
+        p = tokens / F.lit(float(whole))
+        found = _exponent(live.select(p.alias("p"), "tokens"), every, target_entropy, max_repeats + 1e-9, cover)
+        e, z, least = found.e, found.z, found.least
+    else:  # documents without words alone: no weights, all is passed once
+        p, whole, e, z, least = F.lit(1.0), 0, GRID, 1.0, 1.0
+    power = F.pow(p, F.lit(e) / F.lit(float(GRID)))
     # Weights to a millionth, so that engines agree on them; budgets are whole tokens.
-    z = total(powered(F.col("e")))
-    weight = F.pow(p(F.col("x")), F.col("exponent") / F.lit(float(GRID))) / F.col("z")
-    out = held.select(F.col("e").alias("exponent"), F.col("all"), z.alias("z"), F.explode("s").alias("x")).select(
-        "x.source",
-        "x.rows",
-        "x.tokens",
-        "exponent",
-        F.when(F.col("x.tokens") > 0, F.round(weight * PPM)).otherwise(0).cast("bigint").alias("weight_ppm"),
-        F.when(F.col("x.tokens") > 0, weight / F.col("x.tokens")).alias("rate"),
-        "all",
-    )
+    ppm = F.when(F.col("tokens") > 0, F.round(power / F.lit(z) * PPM)).otherwise(0).cast("bigint")
+    out = totals.select("source", "rows", "tokens", F.lit(e).cast("bigint").alias("exponent"), ppm.alias("weight_ppm"))
     if not cover:
-        return out.drop("rate").withColumn("budget", F.floor(F.col("weight_ppm") * F.col("all") / PPM).cast("bigint"))
+        return out.withColumn("budget", F.floor(F.col("weight_ppm") * F.lit(whole).cast("bigint") / PPM).cast("bigint"))
     # Passes relative to the source that is passed least, which is passed once. The
     # bisection allows for rounding; whole tokens beyond the limit it must not give.
-    everything = Window.partitionBy(F.lit(0))  # a row per source
-    scaled = out.withColumn("least", F.min("rate").over(everything))
-    passes = F.least(F.coalesce(F.col("rate") / F.col("least"), F.lit(1.0)), F.lit(float(max_repeats)))
-    return scaled.withColumn("budget", F.greatest(F.col("tokens"), F.floor(passes * F.col("tokens") + 1e-6)).cast("bigint"))
+    relative = F.when(F.col("tokens") > 0, power / F.col("tokens") / F.lit(least)).otherwise(1.0)
+    passes = F.least(relative, F.lit(float(max_repeats)))
+    return out.withColumn("budget", F.greatest(F.col("tokens"), F.floor(passes * F.col("tokens") + 1e-6)).cast("bigint"))
 
 
 def limits(rows: DataFrame, target_entropy: float, max_repeats: float, cover: bool) -> DataFrame:

@@ -105,3 +105,34 @@ def test_covering_budgets_of_a_tiny_source_beside_huge_ones(spark, tiny):
         passes = min(power[s] / v / least, 2.0) if v else 1.0
         assert found[s].budget == pytest.approx(passes * v, rel=1e-9, abs=1)
         assert v <= found[s].budget <= 2 * v
+
+
+@pytest.mark.parametrize(("target", "limit", "cover"), [(0.97, 4.0, False), (0.97, 2.0, True), (0.9, 1e9, False), (1.0, 1e9, True), (0.0, 1.0, False)])
+def test_many_sources_against_plain_bisection(spark, target, limit, cover):
+    """Thousands of sources of very unequal sizes; no array of them is made."""
+    rng = random.Random(6)
+    sizes = {f"={i}": int(rng.paretovariate(0.6)) for i in range(3000)} | {"=none": 0}
+    table = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, rows long, tokens long").repartition(7)
+    found = mixing.weights(table, target, limit, cover)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    exponents = {r.exponent for r in found.collect()}
+    n = sum(sizes.values())
+    p = [v / n for v in sizes.values() if v]
+
+    def repeats(k: int) -> float:
+        rates = [x ** (k / mixing.GRID - 1) for x in p]
+        return max(rates) / (min(rates) if cover else sum(x ** (k / mixing.GRID) for x in p))
+
+    def even(k: int) -> bool:
+        w = [x ** (k / mixing.GRID) for x in p]
+        return entropy([x / sum(w) for x in w]) >= target * math.log(len(p)) - 1e-9
+
+    def first_false(holds, low: int, high: int) -> tuple:
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if holds(middle) else (low, middle)
+        return low, high
+
+    flat = mixing.GRID if even(mixing.GRID) else first_false(even, 0, mixing.GRID)[0]
+    expected = flat if repeats(flat) <= limit + 1e-9 else first_false(lambda k: repeats(k) > limit + 1e-9, flat, mixing.GRID)[1]
+    assert exponents == {expected}
