@@ -24,7 +24,7 @@ def plan_select(query: BoundSelect, scan: Callable[[str], DataFrame], strategy:
     def source(i: int) -> DataFrame:
         one = query.inputs[i]
         df = scan(one.table)
-        return df.select(*(F.col(f"`{c.name}`").alias(one.internal(c)) for c in one.schema.columns))
+        return df.toDF(*(one.internal(c) for c in one.schema.columns))
 
     if query.outputs is None and not query.residual:
         return scan(query.inputs[0].table)
