@@ -7,9 +7,10 @@ documents, chosen by the hash of their id; the flattened model (a few
 kilobytes) goes to the executors.
 
 Only statistics of the text are inputs: never id, language, source or label. Nulls: a
-null text is an empty one; null labels and labels of unknown documents teach nothing;
-a null id is scored but never learned from. Repeated rows are scored each. Without any
-label every score is 0.5. Empty tables give empty results; other columns are ignored.
+null text is an empty one; null labels, labels but 0 and 1 and labels of unknown documents
+teach nothing; a null id is scored but never learned from. Repeated rows are scored each;
+an id teaches once, by the row whose statistics' bytes are smallest, and as 0 if it is labelled both
+ways. Without any label every score is 0.5. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ NAMES = (
     "distinct_words", "distinct_pairs", "distinct_fives", "top_word", "distinct_lines", "word_bytes_spread",
 )
 
-_CLASS = np.zeros((6, 256), np.float32)
+_CLASS = np.zeros((6, 256), np.uint8)
 for _row, _chars in enumerate((b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58)), b".,;:!?", b"\n", bytes(range(128, 256)))):
     _CLASS[_row, list(_chars)] = 1
 
@@ -56,7 +57,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     sizes = (ends - starts).astype(np.float64)
     n = np.diff(first)
     some = np.maximum(n, 1)
-    counts = np.stack([np.add.reduceat(row[data], offsets[:-1]) for row in _CLASS], 1)
+    counts = np.stack([np.add.reduceat(row[data], offsets[:-1], dtype=np.int64) for row in _CLASS], 1)
     counts[:, 4] -= 1  # the line feed that join_texts adds
     total = np.zeros(len(words) + 1)
     np.cumsum(sizes, out=total[1:])
@@ -190,9 +191,11 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     """doc_id, held_out, score, predicted for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_measure, "doc_id long, x binary"), "statistics").withColumn("held_out", in_class(F.col("doc_id"), 4, 2))
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     labelled = rows.where("not held_out and doc_id is not null").join(known, "doc_id").select("doc_id", "x", "y")
     share = train_rows / max(1, known.where(~in_class(F.col("doc_id"), 4, 2)).count())
-    taught = labelled.where(hashed_share(F.col("doc_id"), share)).select("doc_id", "x", "y").toArrow().sort_by("doc_id").slice(0, train_rows)
+    # One row of an id, so that what comes to the driver is bounded by the sample's ids.
+    sample = labelled.where(hashed_share(F.col("doc_id"), share)).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    taught = sample.toArrow().sort_by("doc_id").slice(0, train_rows)
     model = fit(_matrix(taught.column("x")), taught.column("y").to_numpy().astype(float)) if taught.num_rows else fit(np.zeros((0, len(NAMES))), np.zeros(0))
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")

@@ -76,3 +76,60 @@ def test_awkward_rows_and_no_labels(spark, awkward, documents):
     some = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (6, 1), (None, 0)], "doc_id long, quality int")
     assert boosting.classify(awkward, some).count() == 13
     assert boosting.classify(documents([]), some).count() == 0
+
+
+def test_fit_against_sums_over_all_rows(monkeypatch):
+    """Each split and leaf by adding up the rows on either side, without histograms."""
+    monkeypatch.setattr(boosting, "BINS", 9)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(240, 3)).astype(np.float32)
+    x[:, 2] = 1  # nothing to split
+    y = (x[:, 0] + 0.5 * rng.normal(size=240) > 0.2).astype(float)
+    model = boosting.fit(x, y, trees=4, depth=2)
+    margin = np.full(240, np.log((y.sum() + 1) / (241 - y.sum())))
+    assert model.start == pytest.approx(margin[0])
+    splits = 0
+    for t in range(4):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + boosting.LAMBDA)
+        groups = {0: np.ones(240, bool)}
+        for node in range(3):
+            rows = groups[node]
+            best = (boosting.LEAST_GAIN, -1, 0.0)
+            for j in range(3):
+                for edge in np.unique(np.quantile(x[:, j], np.arange(1, 9) / 9)).astype(np.float32):
+                    left, right = rows & (x[:, j] <= edge), rows & (x[:, j] > edge)
+                    if min(h[left].sum(), h[right].sum()) >= boosting.LEAST_WEIGHT / 4:
+                        gain = worth(left) + worth(right) - worth(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, j, edge)
+            assert (model.feature[t, node], model.threshold[t, node]) == (best[1], pytest.approx(best[2]))
+            splits += best[1] >= 0
+            goes_right = (x[:, best[1]] > best[2]) & (best[1] >= 0)
+            groups[2 * node + 1], groups[2 * node + 2] = rows & ~goes_right, rows & goes_right
+        for leaf in range(4):
+            rows = groups[3 + leaf]
+            value = -boosting.RATE * g[rows].sum() / (h[rows].sum() + boosting.LAMBDA)
+            assert model.value[t, leaf] == pytest.approx(value)
+            margin[rows] += value
+    assert splits > 6
+
+
+def test_counts_of_a_text_beyond_the_whole_numbers_of_float32():
+    n = (1 << 24) + 4
+    assert boosting.statistics(["#" * n + "7 a"])[0, 2] == np.float32(n / 2)
+
+
+def test_an_id_teaches_once_and_by_zero_or_one_alone(spark, documents, monkeypatch):
+    rows = [(i, f"word{i} " * (i % 9 + 1)) for i in range(200)]
+    labels = [(i, i % 2) for i, _ in rows]
+    taught = []
+    original = boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda x, y: taught.append((x.tobytes(), y.tolist())) or original(x, y))
+    make = lambda some: spark.createDataFrame(some, "doc_id long, quality int")
+    boosting.classify(documents(rows), make(labels)).count()
+    boosting.classify(documents(rows + rows[:1] * 500), make(labels + [(i, 5) for i in range(200, 300)] + [(3, 1)])).count()
+    boosting.classify(documents(rows + [(900, "odd one"), (901, "two")]), make(labels + [(900, 7), (901, -1), (902, 1)])).count()
+    assert taught[0] == taught[1] == taught[2]
+    assert len(taught[0][1]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows)
