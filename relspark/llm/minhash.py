@@ -10,7 +10,9 @@ counted over the whole signature and, above MATCHES, confirmed on full sets.
 
 Lists give no pairs of all their members. First each member of a list meets the
 list's smallest id; colliding pairs are contracted to clusters. Then members of a list
-that lie in different clusters meet, in cells of bounded size. Any two sets that could
+that lie in different clusters meet, in cells of bounded size that tell only which clusters
+they join: in chunks of about CELL members, then in chunks dealt anew, and then
+every member outside its list's largest cluster meets all of its list. Any two sets that could
 be linked now share a cluster, and each set goes once, with its text, to where its
 cluster is confirmed on full sets: in chunks of CHUNK sets at most, then between the chunks'
 components, and then every set outside its cluster's largest component meets all of its
@@ -138,18 +140,32 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array([r.tobytes() for r in low], pa.binary())], ["rep", "n", "low"])
 
 
+def _merged(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root (the smallest number each number is joined with), after x and y are joined."""
+    while (apart := root[x] != root[y]).any():
+        x, y = root[x[apart]], root[y[apart]]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one cell (rows come sorted by cell) from different
-    components and, where two chunks meet, from different chunks."""
+    """Which components the colliding rows of cells join (rows come sorted by cell): y with x, the
+    smallest that it is joined with, so there are fewer rows than components. Rows meet where two
+    sides differ or are negative; rows that are joined already needn't."""
     held: list[pa.RecordBatch] = []
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        cell, rep, n, comp, side = (rows.column(c).to_numpy() for c in ("cell", "rep", "n", "component", "side"))
+    def joined(rows: pa.Table) -> pa.RecordBatch:
+        cell, n, component, side = (rows.column(c).to_numpy() for c in ("cell", "n", "component", "side"))
         low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         ends = np.searchsorted(cell, cell, "right")
-        out_x, out_y = [], []
-        for at in range(0, len(cell), 2048):
-            i = np.arange(at, min(at + 2048, len(cell)))
+        labels, number = np.unique(component, return_inverse=True)
+        root = np.arange(len(labels))
+        for at in range(0, len(cell), 256):
+            i = np.arange(at, min(at + 256, len(cell)))
+            comp = root[number]
             count = ends[i] - i - 1
             left = i.repeat(count)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
@@ -158,10 +174,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = 100 * np.minimum(n[left], n[right]) >= PERCENT * np.maximum(n[left], n[right])
             left, right = left[ok], right[ok]
             ok = (low[left] == low[right]).sum(1) >= MATCHES
-            out_x.append(rep[left[ok]])
-            out_y.append(rep[right[ok]])
-        x, y = np.concatenate(out_x), np.concatenate(out_y)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+            root = _merged(root, comp[left[ok]], comp[right[ok]])
+        moved = np.flatnonzero(root != np.arange(len(labels)))
+        return pa.RecordBatch.from_arrays([pa.array(labels[root[moved]]), pa.array(labels[moved])], ["x", "y"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -169,29 +184,55 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = batch.column("cell").to_numpy()
         cut_at = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on
         if cut_at:
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+            yield joined(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
             held = []
         held.append(batch.slice(cut_at))
     if held:
-        yield pairs(pa.Table.from_batches(held))
-
-
-def residual_pairs(postings: DataFrame, low: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidate pairs of list members that lie in different components."""
-    labelled = postings.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token", F.ceil(F.col("size") / CELL).cast("int").alias("chunks"))
-    rows = labelled.join(lists, "token").join(low.select("rep", "low"), "rep")
-    mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    spread = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    celled = spread.select(
-        F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
-        "rep",
-        "n",
-        "component",
-        F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.col("mine")).alias("side"),
-        "low",
-    )
-    return celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "x long, y long").distinct()
+        yield joined(pa.Table.from_batches(held))
+
+
+def _met(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Components (u, v) that collisions within cells join. rows: cell, rep, n, component, side."""
+    celled = rows.join(low.select("rep", "low"), "rep").select("cell", "rep", "n", "component", "side", "low")
+    return cut(celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "x long, y long").distinct().select(F.col("x").alias("u"), F.col("y").alias("v")), "near")
+
+
+def merged_lists(postings: DataFrame, low: DataFrame, found: DataFrame) -> DataFrame:
+    """Components found, after list members that lie in different ones have met: in chunks of
+    about CELL, then in chunks dealt anew, which join those of the first, and then every member outside its
+    list's largest component meets all of its list. Only collisions' components matter, so
+    members that are joined already don't meet."""
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows of lists whose members lie in several components, with these."""
+        labelled = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token", "size")
+        return labelled.join(lists, "token")
+
+    def after(rows: DataFrame) -> DataFrame:
+        more = _met(rows, low)
+        return found if more.isEmpty() else components(_edges(found).union(more))
+
+    chunks = F.ceil(F.col("size") / CELL).cast("int")
+    chunked = cut(apart(postings).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).drop("size"), "lists")
+    found = after(chunked.select(F.xxhash64("token", "chunk").alias("cell"), "rep", "n", "component", F.lit(-1).alias("side")))
+    large = chunked.where("chunks > 1").select("token", "rep", "n", "chunks", "chunk")
+    if large.isEmpty():
+        return found
+
+    again = F.pmod(F.xxhash64("rep", F.lit("again")), F.col("chunks"))
+    found = after(apart(large).select(F.xxhash64("token", again).alias("cell"), "rep", "n", "component", F.lit(-1).alias("side")))
+
+    # Members of one chunk have met.
+    rest = cut(apart(large).drop("size"), "apart")
+    parts = rest.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    outside = rest.join(largest, "token").where("component <> largest")
+    groups = outside.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("groups"))
+    visitors = outside.join(groups, "token").withColumn("visit", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("groups")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("at <> chunk")
+    hosts = rest.join(groups, "token").withColumn("at", F.col("chunk")).withColumn("visit", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    sided = [rows.select(F.xxhash64("token", "at", "visit").alias("cell"), "rep", "n", "component", F.lit(side).alias("side")) for rows, side in ((visitors, 1), (hosts, 0))]
+    return after(sided[0].union(sided[1]))
 
 
 # ---- confirmation -----------------------------------------------------------
@@ -333,10 +374,7 @@ def classes(docs: DataFrame, width: int = 2) -> DataFrame:
     stars = postings.join(hubs, "token").where("rep <> hub.rep").where(_near_size("n", "hub.n")).select(F.col("hub.rep").alias("x"), F.col("rep").alias("y")).distinct()
     signed = stars.join(low.select(F.col("rep").alias("x"), F.col("low").alias("a")), "x").join(low.select(F.col("rep").alias("y"), F.col("low").alias("b")), "y")
     near = cut(signed.select("x", "y", "a", "b").mapInArrow(_collisions, "x long, y long").select(F.col("x").alias("u"), F.col("y").alias("v")), "near")
-    clusters = components(near)
-    more = cut(residual_pairs(postings, low, clusters).select(F.col("x").alias("u"), F.col("y").alias("v")), "near")
-    if not more.isEmpty():
-        clusters = components(_edges(clusters).union(more))
+    clusters = merged_lists(postings, low, components(near))
     found = confirmed(texts, low.select("rep", "n"), clusters, width)
 
     label = reps.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from relspark.llm import minhash
@@ -185,3 +186,74 @@ def test_different_texts_of_one_id_are_documents_of_their_own(documents):
     assert kept == {a: 1, b: 1, c: 2, d: 2, "": 1, "-": 1}
     again = sorted((r.doc_id or 0, "-" if r.text is None else r.text) for r in minhash.deduplicate(documents(rows[::-1]).repartition(5)).collect())
     assert again == found
+
+
+def alike(rng, n: int) -> np.ndarray:
+    """Low bytes of n signatures, each half its group's."""
+    base = rng.integers(0, 256, minhash.COORDINATES, dtype=np.uint8)
+    low = np.tile(base, (n, 1))
+    for row in low:
+        row[rng.choice(minhash.COORDINATES, 20, replace=False)] += 1 + rng.integers(0, 200, dtype=np.uint8)
+    return low
+
+
+def joined_by_all_pairs(low: np.ndarray, labels: list) -> dict:
+    """Each label's smallest after all pairs that agree in MATCHES bytes."""
+    root = {x: x for x in labels}
+    for i in range(len(low)):
+        for j in np.flatnonzero((low[i + 1 :] == low[i]).sum(1) >= minhash.MATCHES) + i + 1:
+            a, b = sorted((root[labels[i]], root[labels[j]]))
+            root = {x: a if r == b else r for x, r in root.items()} if a != b else root
+    return root
+
+
+@pytest.mark.parametrize("batch", [7, 100, 10_000])
+def test_cells_tell_components_not_pairs(batch):
+    """Members of a hot list that all collide make fewer rows than there are members."""
+    rng = np.random.default_rng(11)
+    low = np.concatenate([alike(rng, 600), alike(rng, 40), alike(rng, 1), alike(rng, 1)])
+    cell = np.arange(len(low)) >= 630  # the second group lies in two cells
+    labels = [100 + i // 3 for i in range(len(low))]
+    columns = {"cell": cell.astype(np.int64), "rep": np.arange(len(low)), "n": np.full(len(low), 50, np.int32), "component": np.array(labels), "side": np.full(len(low), -1, np.int32), "low": [r.tobytes() for r in low]}
+    found = [(x, y) for b in minhash._cells(iter(pa.table(columns).to_batches(max_chunksize=batch))) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
+    assert len(found) < 2 * len(set(labels))
+    root = {x: x for x in labels}
+    for x, y in found:
+        assert x < y
+        a, b = sorted((root[x], root[y]))
+        root = {k: a if r == b else r for k, r in root.items()}
+    first, second = joined_by_all_pairs(low[:630], labels[:630]), joined_by_all_pairs(low[630:], labels[630:])
+    expected = {x: x for x in labels}
+    for k, r in [*first.items(), *second.items()]:
+        a, b = sorted((expected[k], expected[r]))
+        expected = {x: a if y == b else y for x, y in expected.items()}
+    assert root == expected
+    assert 2 < len(set(root.values())) < 8
+
+
+def test_large_lists_meet_in_proportion_to_their_size(spark, monkeypatch):
+    """A list of many cells: what collides ends in one component, even where only members outside
+    the largest one do, and rows sent don't go by the square."""
+    monkeypatch.setattr(minhash, "CELL", 32)
+    sent, original = [], minhash._met
+
+    def spy(rows, low):
+        sent.append(rows.count())
+        return original(rows, low)
+
+    monkeypatch.setattr(minhash, "_met", spy)
+    rng = np.random.default_rng(12)
+    low = np.concatenate([alike(rng, 1200), *(alike(rng, 2) for _ in range(10))])
+    for k in range(8):  # a chain: of neighbours only do 40 bytes agree
+        step = low[-1].copy()
+        step[(np.arange(24) + 24 * k) % minhash.COORDINATES] += 1
+        low = np.concatenate([low, step[None]])
+    reps = [int(i) for i in rng.permutation(len(low))]
+    postings = spark.createDataFrame([(5, r, 50) for r in reps], "token long, rep long, n int")
+    lows = spark.createDataFrame([(r, 50, bytearray(x.tobytes())) for r, x in zip(reps, low, strict=True)], "rep long, n int, low binary")
+    found = {r.node: r.component for r in minhash.merged_lists(postings, lows, spark.createDataFrame([], "node long, component long")).collect()}
+    expected = joined_by_all_pairs(low, reps)
+    assert {r: found.get(r, r) for r in reps} == expected
+    assert 8 < len(set(expected.values())) < 30
+    assert len(sent) == 3
+    assert sum(sent) < 6 * len(reps)  # in cells of all chunks' pairs: 39 times as many as members
